@@ -15,7 +15,9 @@ _COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbs
 
 
 def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    # two literals and a split fold into one constant; thousands of literals would be slow to plan
+    names, chars = "\x02".join(table), "\x02".join(table.values())
+    return F.map_from_arrays(F.split(F.lit(names), "\x02"), F.split(F.lit(chars), "\x02"))
 
 
 def _decode(piece: Column) -> Column:

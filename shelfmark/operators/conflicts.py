@@ -100,14 +100,15 @@ def resolve_conflicts(plan: DataFrame, existing: DataFrame, bits: int = RANGE_BI
     (path), the snapshot, each path once. A source that is not in it becomes an error row.
     """
     present = existing.select(F.col("path").alias("src"), F.lit(True).alias("_present"))
-    checked = plan.join(present, "src", "left")
+    # the plan is used several times below: computed once, then read by column
+    checked = cut_lineage(plan.join(present, "src", "left"))
     claims = checked.filter(F.col("_present").isNotNull()).drop("_present")
     missing = checked.filter(F.col("_present").isNull()).drop("_present")
 
     wanted = claims.groupBy("dst").agg(F.min("seq").alias("first"))
     owners = wanted.select(F.col("dst").alias("owner"))
     occupied = _slots(existing, "path", itself=True).unionByName(_slots(wanted, "dst", itself=False))
-    closed = occupied.join(owners, "owner", "left_semi").distinct()
+    closed = cut_lineage(occupied.join(owners, "owner", "left_semi").distinct())
 
     owner, slot = _numbered_parent("dst")
     links = (wanted.select(owner.alias("owner"), slot.alias("slot"), F.col("dst").alias("child"), "first")
@@ -121,18 +122,21 @@ def resolve_conflicts(plan: DataFrame, existing: DataFrame, bits: int = RANGE_BI
             settled.filter("not keeps").select(F.col("child").alias("owner"), F.lit(0).cast("bigint").alias("slot")))
         links = cut_lineage(links.join(settled.select("owner").distinct(), "owner", "left_anti"))
 
+    # most names have no closed counter: the k-th file that wants them takes counter k
+    ranked = cut_lineage(rank_in_group(claims, ["dst"], "seq", "_k", bits))
+    gapped = closed.select(F.col("owner").alias("dst")).distinct()
+    plain = ranked.join(gapped, "dst", "left_anti").withColumn("_counter", F.col("_k"))
     # the j-th closed counter z has z - j open ones below it
     gaps = (rank_in_group(closed, ["owner"], "slot", "_j", bits)
             .groupBy("owner", (F.col("slot") - F.col("_j")).alias("_below")).agg(F.count("*").alias("_add"))
             .select(F.col("owner").alias("dst"), (F.col("_below") * 2).alias("_at"), "_add"))
-    ranked = rank_in_group(claims, ["dst"], "seq", "_k", bits)
-    merged = (ranked.withColumns({"_at": F.col("_k") * 2 + 1, "_add": F.lit(0).cast("bigint")})
-              .unionByName(gaps, allowMissingColumns=True))
-    placed = running_total(merged, ["dst"], "_at", F.col("_add"), "_passed", bits) \
-        .filter(F.col("_k").isNotNull())
-    done = placed.select(*plan.columns,
-                         paths.numbered("dst", F.col("_k") + F.col("_passed")).alias("final_dst"),
-                         F.lit(None).cast("string").alias("error"))
+    walkers = (ranked.join(gapped, "dst", "left_semi")
+               .withColumns({"_at": F.col("_k") * 2 + 1, "_add": F.lit(0).cast("bigint")}))
+    passed = running_total(walkers.unionByName(gaps, allowMissingColumns=True), ["dst"], "_at",
+                           F.col("_add"), "_passed", bits).filter(F.col("_k").isNotNull())
+    counted = plain.unionByName(passed.select(*ranked.columns, (F.col("_k") + F.col("_passed")).alias("_counter")))
+    done = counted.select(*plan.columns, paths.numbered("dst", "_counter").alias("final_dst"),
+                          F.lit(None).cast("string").alias("error"))
     failed = missing.select(*plan.columns, F.lit(None).cast("string").alias("final_dst"),
                             F.concat(F.lit("Source missing: "), paths.name_of("src")).alias("error"))
     return done.unionByName(failed)

@@ -48,10 +48,10 @@ def rank_all(df: DataFrame, *order: str, out: str = "seq") -> DataFrame:
     ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut_lineage(df.repartitionByRange(ranges, *order)
                          .withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
     # one row per range: at most spark.sql.shuffle.partitions rows
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return (ranged.withColumn("_local", local).join(offsets, "_part")
             .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
@@ -81,8 +81,8 @@ def join_lines(df: DataFrame, keys: list[str], order: str, text: str, sep: str,
                              "_range": F.shiftright(F.col(order).cast("bigint"), bits)})
     partial = ranged.groupBy(*keys, "_range").agg(
         _concat_sorted("_order", "_text", sep, max_chars).alias("_text"),
-        F.count("_text").alias("_n"), *[first.alias(name) for name, (first, _) in also.items()])
-    partial = partial.withColumn("_text", F.when(F.col("_n") > 0, F.col("_text")))
+        F.count("_text").alias("_filled"), *[first.alias(name) for name, (first, _) in also.items()])
+    partial = partial.withColumn("_text", F.when(F.col("_filled") > 0, F.col("_text")))
     return partial.groupBy(*keys).agg(
         _concat_sorted("_range", "_text", sep, max_chars).alias(out),
         *[merge(name).alias(name) for name, (_, merge) in also.items()])

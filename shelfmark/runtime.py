@@ -54,6 +54,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from there.
+
+    A parquet table rather than an RDD checkpoint: it is computed once and not twice, later reads
+    take only the columns they need, and its size is known to the join planning. Being in shared
+    storage it survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

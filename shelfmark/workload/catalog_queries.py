@@ -120,7 +120,7 @@ def manifest_head(t):
 @query("duplicate_files", f"""WITH inv AS ({D.INVENTORY_SQL}),
   hashed AS (SELECT path, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS length FROM inv i JOIN documents d ON i.doc_id = d.doc_id)
   SELECT path, digest, length, count(*) OVER w AS copies, min(path) OVER w AS keep, path = min(path) OVER w AS is_kept
-  FROM hashed QUALIFY count(*) OVER w > 1 WINDOW w AS (PARTITION BY digest, length)""")
+  FROM hashed WINDOW w AS (PARTITION BY digest, length) QUALIFY count(*) OVER w > 1""")
 def duplicate_files(t):
     content = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
     named = D.inventory(t).select("doc_id", "path").join(content, "doc_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import numbered
 from ..operators import catalog as C, enrich as E, layout as L
+from ..runtime import cut_lineage
 from .registry import Tables
 
 ROOT = "/corpus"
@@ -30,7 +31,7 @@ _REPLIES = """SELECT doc_id, CASE doc_id % 6
     WHEN 0 THEN body
     WHEN 1 THEN concat('```json ', body, ' ```')
     WHEN 2 THEN concat('Here you go: ', body, ' Done.')
-    WHEN 3 THEN replace(body, 'null}', 'null,}')
+    WHEN 3 THEN replace(body, 'null}}', 'null,}}')
     WHEN 4 THEN translate(body, chr(34), chr(39))
     ELSE 'no structure at all' END AS reply
 FROM (SELECT doc_id, concat('{{"topic": "  ', source, ' ', lang, '", "summary": "s", "keywords": ["', lang,
@@ -105,7 +106,7 @@ def slug_sql(expr: str) -> str:
     joined = f"regexp_replace({strip_sql(kept)}, '[\\s\\x1C-\\x1F\\x0B\\x85\\xA0\\p{{Z}}_]+', '_', 'g')"
     single = f"regexp_replace({joined}, '-+', '-', 'g')"
     words = (f"list_transform(string_split({single}, '_'), lambda w: "
-             "concat(upper(left(w, 1)), lower(substr(w, 2))))")
+             "concat(replace(upper(left(w, 1)), chr(7838), chr(83) || chr(115)), lower(substr(w, 2))))")
     return f"trim(left(array_to_string({words}, '_'), 40), '_')"
 
 
@@ -206,4 +207,4 @@ def date_plan(t: Tables) -> DataFrame:
 def existing(t: Tables) -> DataFrame:
     here = inventory(t).filter(F.col("doc_id") % 29 != 0).select("path")
     named = date_plan(t).filter(F.col("seq") % 13 == 0).select(numbered("dst", F.lit(1)).alias("path"))
-    return here.unionByName(named).distinct()
+    return cut_lineage(here.unionByName(named).distinct())

@@ -49,8 +49,8 @@ def kmeans_assign(t):
 
 @query("topk_inner_product", """WITH p AS (SELECT q.vec_id AS query_id, b.vec_id AS id,
     round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS s FROM embeddings q, embeddings b)
-  SELECT query_id, id, round(s, 6) AS score, row_number() OVER w AS rank FROM p QUALIFY row_number() OVER w <= 3
-  WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, id)""")
+  SELECT query_id, id, round(s, 6) AS score, row_number() OVER w AS rank FROM p
+  WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, id) QUALIFY row_number() OVER w <= 3""")
 def topk_inner_product(t):
     vectors = _vectors(t)
     found = V.topk_ip(vectors.select(F.col("id").alias("query_id"), "vec"), vectors)
