@@ -27,13 +27,14 @@ FROM {documents}"""
 _SPARK_TS = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id * 7 AS INT))"
 _DUCK_TS = "TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id * 7 AS BIGINT))"
 
-_REPLIES = """SELECT doc_id, CASE doc_id % 6
+_REPLIES = """SELECT doc_id, CASE doc_id % 7
     WHEN 0 THEN body
     WHEN 1 THEN concat('```json ', body, ' ```')
     WHEN 2 THEN concat('Here you go: ', body, ' Done.')
     WHEN 3 THEN replace(body, 'null}}', 'null,}}')
     WHEN 4 THEN translate(body, chr(34), chr(39))
-    ELSE 'no structure at all' END AS reply
+    WHEN 5 THEN 'no structure at all'
+    ELSE replace(replace(body, 'null}}', 'null,}}'), ' k "]', ' k ", ]') END AS reply
 FROM (SELECT doc_id, concat('{{"topic": "  ', source, ' ', lang, '", "summary": "s", "keywords": ["', lang,
       '", "", null, " k "], "confidence": ', CAST(doc_id % 131 AS STRING), 'e-2, "file_date": null}}') AS body
       FROM {documents}) t"""
@@ -92,11 +93,12 @@ aud AS (SELECT *, CASE WHEN size_bytes <= 0 THEN 'not readable / empty'
   FROM cat WHERE path NOT LIKE '%/.git/%' AND path NOT LIKE '%/__pycache__/%'),
 live AS (SELECT * FROM aud WHERE reason IS NULL)"""
 
-METADATA_SQL = f"""meta AS (SELECT doc_id,
-  CASE WHEN doc_id % 6 = 5 THEN 'Uncategorized' ELSE concat(source, ' ', lang) END AS topic,
-  CASE WHEN doc_id % 6 = 5 THEN '' ELSE 's' END AS summary,
-  CASE WHEN doc_id % 6 = 5 THEN '' ELSE concat(lang, '|k') END AS keywords,
-  CASE WHEN doc_id % 6 = 5 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, CAST(concat(CAST(doc_id % 131 AS VARCHAR), 'e-2') AS DOUBLE)) END AS confidence
+# 3: the comma spoils the object, but the keyword list inside it parses, and a list is no record
+METADATA_SQL = """meta AS (SELECT doc_id,
+  CASE WHEN doc_id % 7 IN (3, 5) THEN 'Uncategorized' ELSE concat(source, ' ', lang) END AS topic,
+  CASE WHEN doc_id % 7 IN (3, 5) THEN '' ELSE 's' END AS summary,
+  CASE WHEN doc_id % 7 IN (3, 5) THEN '' ELSE concat(lang, '|k') END AS keywords,
+  CASE WHEN doc_id % 7 IN (3, 5) THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, CAST(concat(CAST(doc_id % 131 AS VARCHAR), 'e-2') AS DOUBLE)) END AS confidence
   FROM documents)"""
 
 

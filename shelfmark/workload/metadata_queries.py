@@ -43,8 +43,8 @@ def score_batches(t):
                            default="failed").select("doc_id", "reply")
 
 
-@query("extract_json", META + """SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'none' ELSE concat('  ', topic) END AS topic,
-  doc_id % 6 <> 5 AS found FROM meta""")
+@query("extract_json", META + """SELECT doc_id, CASE WHEN doc_id % 7 IN (3, 5) THEN 'none' ELSE concat('  ', topic) END AS topic,
+  doc_id % 7 <> 5 AS found FROM meta""")
 def extract_json(t):
     parsed = D.replies(t).withColumn("j", P.extract_json("reply"))
     return parsed.select("doc_id", F.coalesce(F.try_variant_get("j", "$.topic", "string"), F.lit("none")).alias("topic"),
@@ -57,7 +57,7 @@ def fix_json(t):
     return D.replies(t).select("doc_id", P.fix_json("reply").alias("fixed"))
 
 
-@query("validate_metadata", META + """SELECT doc_id, topic, summary, keywords, confidence, 'none' AS file_date FROM meta WHERE doc_id % 6 <> 5""")
+@query("validate_metadata", META + """SELECT doc_id, topic, summary, keywords, confidence, 'none' AS file_date FROM meta WHERE doc_id % 7 NOT IN (3, 5)""")
 def validate_metadata(t):
     parsed = D.replies(t).withColumn("j", P.extract_json("reply"))
     checked = parsed.withColumn("metadata", P.validate_metadata("j"))
