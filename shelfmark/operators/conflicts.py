@@ -22,40 +22,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import paths
 from ..runtime import cut_lineage
 from .grouping import RANGE_BITS, rank_in_group, running_total
 
 
-def _numbered_parent(path: str) -> tuple[Column, Column]:
-    """(owner, counter) of a name that looks like a numbered one, else nulls."""
-    col = F.col(path)
-    suffix = paths.suffix_of(paths.name_of(path))
-    base = F.left(col, F.length(col) - F.length(suffix))
-    pattern = r"(?s)^(.*[^/])_([1-9][0-9]{0,17})\z"
-    owner = F.concat(F.regexp_extract(base, pattern, 1), suffix)
-    counter = F.regexp_extract(base, pattern, 2).try_cast("bigint")
-    fits = paths.numbered(owner, counter) == col
-    return F.when(fits, owner), F.when(fits, counter)
+# A numbered name: stem_N.ext, or stem_N where there is no extension (a leading dot is none).
+_N = "[1-9][0-9]{0,17}"
+_NUMBERED = rf"(?s)^(?:(.*[^/])_({_N})(\.[^./]+)|((?:.*/)?\.?[^./]+)_({_N}))\z"
+# Names that end in a dot: x._1 is counter 1 of "x.".
+_DOTTED = rf"(?s)^(.*[^/]\.)_({_N})\z"
+_CUT = "\x01"
 
 
-def _dotted_parent(path: str) -> tuple[Column, Column]:
-    """The same for names that end in a dot: ``x._1`` is counter 1 of ``x.``."""
-    pattern = r"(?s)^(.*[^/]\.)_([1-9][0-9]{0,17})\z"
-    owner = F.regexp_extract(path, pattern, 1)
-    return F.nullif(owner, F.lit("")), F.regexp_extract(path, pattern, 2).try_cast("bigint")
+def _numbered(names: DataFrame, path: str, pattern: str = _NUMBERED, groups: str = "$1$3$4\x01$2$5") -> DataFrame:
+    """Add (owner, slot): the name without its counter and the counter, null for other names."""
+    split = names.withColumn("_split", F.regexp_replace(path, pattern, groups))
+    slot = F.split_part("_split", F.lit(_CUT), F.lit(2)).try_cast("bigint")
+    return split.withColumn("slot", slot).withColumn("owner", F.when(
+        F.col("slot").isNotNull(), F.split_part("_split", F.lit(_CUT), F.lit(1)))).drop("_split")
 
 
-def _slots(names: DataFrame, path: str, *, itself: bool) -> DataFrame:
-    """(owner, slot) pairs that the given names occupy."""
-    pairs = [_dotted_parent(path)]
-    if itself:
-        pairs += [(F.col(path), F.lit(0).cast("bigint")), _numbered_parent(path)]
-    structs = [F.struct(owner.alias("owner"), slot.alias("slot")) for owner, slot in pairs]
-    return (names.select(F.explode(F.array(*structs)).alias("s")).select("s.owner", "s.slot")
-            .filter(F.col("owner").isNotNull() & F.col("slot").isNotNull()))
+def _dotted(names: DataFrame, path: str) -> DataFrame:
+    return _numbered(names, path, _DOTTED, "$1\x01$2").filter(F.col("slot").isNotNull()).select("owner", "slot")
+
+
+def _occupied(existing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(owner, slot) pairs that are closed from the start.
+
+    A wanted name like ``x._1`` is kept away from "x." altogether: it can look like a numbered
+    form of two names at once, which would make the order of settling circular.
+    """
+    both = _numbered(existing.select("path"), "path").select(F.explode(F.array(
+        F.struct(F.col("path").alias("owner"), F.lit(0).cast("bigint").alias("slot")),
+        F.struct("owner", "slot"))).alias("s"))
+    return (both.select("s.owner", "s.slot").filter(F.col("owner").isNotNull())
+            .unionByName(_dotted(existing, "path")).unionByName(_dotted(wanted, "dst")))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,12 +111,10 @@ def resolve_conflicts(plan: DataFrame, existing: DataFrame, bits: int = RANGE_BI
 
     wanted = claims.groupBy("dst").agg(F.min("seq").alias("first"))
     owners = wanted.select(F.col("dst").alias("owner"))
-    occupied = _slots(existing, "path", itself=True).unionByName(_slots(wanted, "dst", itself=False))
-    closed = cut_lineage(occupied.join(owners, "owner", "left_semi").distinct())
+    closed = cut_lineage(_occupied(existing, wanted).join(owners, "owner", "left_semi").distinct())
 
-    owner, slot = _numbered_parent("dst")
-    links = (wanted.select(owner.alias("owner"), slot.alias("slot"), F.col("dst").alias("child"), "first")
-             .filter(F.col("owner").isNotNull())
+    links = (_numbered(wanted, "dst").filter(F.col("slot").isNotNull())
+             .select("owner", "slot", F.col("dst").alias("child"), "first")
              .join(owners, "owner", "left_semi"))
     links = cut_lineage(links.join(closed, ["owner", "slot"], "left_anti"))
     while not links.isEmpty():

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .. import constants as K
 from ..functions import blocks
@@ -23,6 +23,7 @@ from .grouping import rank_all
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
+SMALL_LINKS = 1 << 20  # up to this many links one task joins them up
 SLACK = 1e-9  # distances are doubles: pruning must not cut at the last digit
 
 
@@ -38,7 +39,9 @@ def _points(df: DataFrame) -> DataFrame:
 
 def _with_pivots(points: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndarray]:
     """Add ``cell`` and the distance ``off`` to its pivot; pivots are at most MAX_PIVOTS points."""
-    n = points.count()
+    counted = Observation()
+    points = cut_lineage(points.observe(counted, F.count("*").alias("n")))
+    n = counted.get["n"]
     wanted = min(MAX_PIVOTS, max(1, n // block_rows))
     sample = points.orderBy(F.xxhash64("gid")).limit(wanted).select("vec").toArrow()
     pivots = blocks.matrix(sample["vec"])
@@ -62,13 +65,17 @@ def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _work(points: DataFrame, pivots: np.ndarray, eps: float, block_rows: int) -> DataFrame:
-    """Rows for the block pairs: (cell, rb, vb, visitor, own, gid, weight, vec [, core])."""
-    # one row per pivot
+def _cells(points: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radius and number of blocks of each cell: one row per pivot reaches the driver."""
     cells = {r["cell"]: (r["radius"], r["n"]) for r in
              points.groupBy("cell").agg(F.max("off").alias("radius"), F.count("*").alias("n")).collect()}
     radius = np.array([cells.get(c, (-np.inf, 0))[0] for c in range(len(pivots))])
-    n_blocks = np.array([-(-cells.get(c, (0, 0))[1] // block_rows) for c in range(len(pivots))])
+    return radius, np.array([-(-cells.get(c, (0, 0))[1] // block_rows) for c in range(len(pivots))])
+
+
+def _work(points: DataFrame, pivots: np.ndarray, cells: tuple[np.ndarray, np.ndarray], eps: float) -> DataFrame:
+    """Rows for the block pairs: (cell, rb, vc, vb, visitor, own, gid, weight, vec [, core])."""
+    radius, n_blocks = cells
     # |x-y|^2 = 2 (1-cos) for unit vectors; a zero vector (distance 1 to all) is nearer than that
     reach = np.sqrt(2.0 * eps) + SLACK
 
@@ -153,53 +160,83 @@ def _links(work: DataFrame, eps: float, id_type: str) -> DataFrame:
     return work.groupBy(*_PAIR).applyInArrow(link, f"a {id_type}, b {id_type}, border boolean")
 
 
+def _above(child: DataFrame, parent: DataFrame) -> DataFrame:
+    """Follow the pointers of ``child`` one step further, along those of ``parent``."""
+    step = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return child.join(step, "root").select("node", F.col("root").alias("passed"), F.col("above").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected part. ``links``: a, b.
 
-    Every node points at a smaller one; pointers are shortened by half and links are lifted to the
-    roots in each round, so the rounds grow with the logarithm of the size. Smallest neighbours
-    are folded before the shuffle, so a node with very many links costs no more than others.
+    Every node points at a smaller one. A round shortens the pointers to the roots (by four steps a
+    time), lifts the links to the roots, and hooks each root to its smallest neighbour. Smallest
+    neighbours are folded before the shuffle, so a node with very many links is no hot spot.
     """
     pairs = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    edges = cut_lineage(both.filter("x != y").distinct())
-    parent = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(
-        F.least(F.min("y"), F.min("x")).alias("root")))
+    edges = both.filter("x != y").distinct()
+    parent = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("root"))
     while True:
-        # shorten: the parent of the parent, until all pointers end at a root
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = cut_lineage(parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            moved = not parent.filter("moved").isEmpty()
-            parent = parent.select("node", "root")
-            if not moved:
-                break
-        # lift the links to the roots; roots that still have links take the smallest neighbour
+        moved = 1
+        while moved:
+            seen = Observation()
+            twice = _above(parent, parent).drop("passed")
+            parent = cut_lineage(_above(twice, twice).observe(
+                seen, F.count_if(F.col("passed") != F.col("root")).alias("moved"))).drop("passed")
+            moved = seen.get["moved"]
         of = parent.select(F.col("node").alias("x"), F.col("root").alias("rx"))
         lifted = (edges.join(of, "x").select(F.col("rx").alias("z"), F.col("y").alias("x"))
                   .join(of, "x").select(F.col("z").alias("x"), F.col("rx").alias("y")))
-        edges = cut_lineage(lifted.filter("x != y").distinct())
-        if edges.isEmpty():
+        left = Observation()
+        edges = cut_lineage(lifted.filter("x != y").distinct().observe(left, F.count("*").alias("n")))
+        if not left.get["n"]:
             return parent
         least = edges.groupBy("x").agg(F.min("y").alias("y")).filter("y < x")
-        parent = cut_lineage(parent.join(least.select(F.col("x").alias("node"), "y"), "node", "left")
-                             .select("node", F.coalesce("y", "root").alias("root")))
+        parent = (parent.join(least.select(F.col("x").alias("node"), "y"), "node", "left")
+                  .select("node", F.coalesce("y", "root").alias("root")))
+
+
+def small_components(links: DataFrame) -> DataFrame:
+    """The same as ``components`` in one task, for a number of links that was counted before."""
+    id_type = links.schema["a"].dataType.simpleString()
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        nodes = list(root)
+        yield pa.RecordBatch.from_pydict({"node": nodes, "root": [find(n) for n in nodes]})
+
+    return links.select("a", "b").coalesce(1).mapInArrow(join_up, f"node {id_type}, root {id_type}")
 
 
 def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_MIN_POINTS,
-           block_rows: int = BLOCK_ROWS) -> DataFrame:
+           block_rows: int = BLOCK_ROWS, small_links: int = SMALL_LINKS) -> DataFrame:
     """(id, cluster): ``cluster_<i>`` in the order of the smallest core point, or "misc" for noise.
 
     ``df``: id (unique), vec. Neighbours are within cosine distance ``eps``; a point counts itself.
     """
     id_type = df.schema["id"].dataType.simpleString()
     points, pivots = _with_pivots(_points(df), block_rows)
-    degree = _degrees(_work(points, pivots, eps, block_rows), eps, id_type)
+    cells = _cells(points, pivots, block_rows)
+    degree = _degrees(_work(points, pivots, cells, eps), eps, id_type)
     total = F.col("weight") + F.coalesce("degree", F.lit(0))
     cored = cut_lineage(points.join(degree, "gid", "left")
                         .withColumn("core", total >= min_points).drop("degree"))
-    links = cut_lineage(_links(_work(cored, pivots, eps, block_rows), eps, id_type))
-    roots = components(links.filter("not border"))
+    counted = Observation()
+    links = cut_lineage(_links(_work(cored, pivots, cells, eps), eps, id_type)
+                        .observe(counted, F.count_if(~F.col("border")).alias("n")))
+    inner = links.filter("not border")
+    roots = small_components(inner) if counted.get["n"] <= small_links else components(inner)
     # core points without a core neighbour are clusters of their own
     cores = (cored.filter("core").select("gid").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
              .select("gid", F.coalesce("root", "gid").alias("root")))
