@@ -7,7 +7,7 @@ import html.entities
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import as_col, py_strip
+from .text import as_col, let, py_strip
 
 _BREAK = "\x01"
 # Names that occur in nearly every page are looked up before the full table.
@@ -32,29 +32,29 @@ def _decode(piece: Column) -> Column:
     used = F.length(F.regexp_extract(piece, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 0))
     named = F.coalesce(F.try_element_at(_lookup(_COMMON), name),
                        F.try_element_at(_lookup(html.entities.html5), name))
-    return (F.when(named.isNotNull(), F.concat(named, F.substr(piece, F.length(name) + 1)))
-            .when(char.isNotNull(), F.concat(char, F.substr(piece, used + 1)))
-            .otherwise(F.concat(F.lit("&"), piece)))
+    return F.coalesce(F.concat(named, F.substr(piece, F.length(name) + 1)),
+                      F.concat(char, F.substr(piece, used + 1)),
+                      F.concat(F.lit("&"), piece))
 
 
 def unescape(col) -> Column:
     """Named and numeric character references of HTML."""
-    text = as_col(col)
-    pieces = F.split(text, "&")
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _decode), ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decoded(text: Column) -> Column:
+        # every piece but the first follows an ampersand
+        return let(F.split(text, "&"), lambda pieces: F.array_join(F.transform(
+            pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode(p))), ""))
+
+    return let(as_col(col), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def html_text(col, max_chars: int | None = K.HTML_CHARS) -> Column:
     """Text nodes, stripped, one per line; scripts, styles and page furniture left out."""
     text = F.replace(as_col(col), F.lit(_BREAK), F.lit(" "))
-    for tag in K.HTML_DROPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", _BREAK)
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", _BREAK)
-    text = F.regexp_replace(text, r"</?[A-Za-z][^>]*>|<[!?][^>]*>", _BREAK)
-    # reduce runs of tags first: fewer, longer nodes to look at
-    nodes = F.split(F.regexp_replace(unescape(text), f"{_BREAK}+", _BREAK), _BREAK)
+    # raw-text elements first: what looks like a tag inside a script is none
+    for tags in ("|".join(K.HTML_DROPPED_TAGS[:2]), "|".join(K.HTML_DROPPED_TAGS[2:])):
+        text = F.regexp_replace(text, rf"(?is)<({tags})\b[^>]*>.*?</\1\s*>", _BREAK)
+    text = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>", _BREAK)
+    nodes = F.split(unescape(text), _BREAK)
     lines = F.array_join(F.filter(F.transform(nodes, py_strip), lambda n: n != ""), "\n")
     return F.left(lines, F.lit(max_chars)) if max_chars else lines
 

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import as_col, py_strip
+from .text import as_col, let, py_strip
 
 METADATA_TYPE = ("struct<topic:string,summary:string,keywords:array<string>,"
                  "confidence:double,file_date:string>")
 # Follows the candidate inside the probing array, see strict_json.
 _END = "\u0002end"
+_JSON_STARTS = list('{["-0123456789tfn')
+_JSON_BLANKS = " \t\r\n"
 
 
 def strict_json(text) -> Column:
-    """VARIANT of ``text`` when all of it is one JSON value, else null.
+    """VARIANT of ``text`` when all of it is one JSON value (no blanks in front), else null.
 
     The parser ignores what follows a complete value, so the candidate is put in an array in
     front of an end mark: only a whole single value leaves the mark at the second place.
     """
-    probe = F.try_parse_json(F.concat(F.lit("["), as_col(text), F.lit(',"\\u0002end"]')))
-    whole = (F.try_variant_get(probe, "$[1]", "string") == _END) & \
-        F.try_variant_get(probe, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(probe, "$[0]", "variant"))
+    def parsed(candidate: Column) -> Column:
+        probe = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit(',"\\u0002end"]')))
+        return let(F.try_variant_get(probe, "$", "array<variant>"), lambda a: F.when(
+            (F.size(a) == 2) & (F.try_variant_get(F.get(a, F.lit(1)), "$", "string") == _END), F.get(a, F.lit(0))))
+
+    # prose is told from JSON by its first character, without a failing parse
+    return let(as_col(text), lambda t: F.when(F.left(t, F.lit(1)).isin(*_JSON_STARTS), parsed(t)))
 
 
 def fix_json(text) -> Column:
@@ -31,19 +36,26 @@ def fix_json(text) -> Column:
     return F.regexp_replace(no_commas, r"'([^'\\]*)'", '"$1"')
 
 
+def fenced_blocks(reply) -> Column:
+    """What stands between pairs of ``` marks, without the label "json" and outer blanks."""
+    pieces = F.split(as_col(reply), "```")
+    # pieces 1, 3, 5, ... are inside, the last piece has no closing mark
+    inside = F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: i % 2 == 1)
+    return F.transform(inside, lambda p: py_strip(
+        F.when(F.lower(F.left(p, F.lit(4))) == "json", F.substr(p, F.lit(5))).otherwise(p)))
+
+
 def extract_json(reply) -> Column:
     """First value that parses: whole reply, each fenced block, {...}, [...], repaired reply."""
     reply = as_col(reply)
-    blocks = F.regexp_extract_all(reply, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1))
     fenced = F.try_element_at(
-        F.filter(F.transform(blocks, lambda b: strict_json(py_strip(b))), lambda v: v.isNotNull()),
-        F.lit(1))
+        F.filter(F.transform(fenced_blocks(reply), strict_json), lambda v: v.isNotNull()), F.lit(1))
     return F.coalesce(
         strict_json(py_strip(reply)),
-        fenced,
+        F.when(F.contains(reply, F.lit("```")), fenced),
         strict_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0)),
         strict_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0)),
-        strict_json(fix_json(reply)),
+        strict_json(F.btrim(fix_json(reply), F.lit(_JSON_BLANKS))),
     )
 
 
@@ -76,20 +88,20 @@ def validate_metadata(value) -> Column:
         return F.try_variant_get(value, f"$.{name}", "variant")
 
     def text(name: str, default: str, cap: int) -> Column:
-        stored = F.left(py_strip(_printed(field(name))), F.lit(cap))
-        return F.when(field(name).isNull(), F.lit(default)).otherwise(stored)
+        return F.coalesce(let(field(name), lambda v: F.left(py_strip(_printed(v)), F.lit(cap))), F.lit(default))
 
     confidence = F.coalesce(F.try_variant_get(value, "$.confidence", "double"), F.lit(0.0))
     listed = F.try_variant_get(value, "$.keywords", "array<variant>")
     keywords = F.slice(F.transform(F.filter(listed, _truthy), lambda k: py_strip(_printed(k))),
                        1, K.MAX_KEYWORDS)
-    date = field("file_date")
+    date = let(field("file_date"), lambda v: F.when(
+        ~F.is_variant_null(v), F.try_variant_get(v, "$", "string")))
     return F.when(is_object(value), F.struct(
         text("topic", K.DEFAULT_TOPIC, K.TOPIC_CHARS).alias("topic"),
         text("summary", "", K.SUMMARY_CHARS).alias("summary"),
         F.coalesce(keywords, F.array().cast("array<string>")).alias("keywords"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"),
-        F.when(~F.is_variant_null(date), F.try_variant_get(date, "$", "string")).alias("file_date"),
+        date.alias("file_date"),
     ))
 
 

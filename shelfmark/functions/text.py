@@ -7,10 +7,18 @@ from pyspark.sql import Column, functions as F
 from .. import constants as K
 
 
+SLUG_MARGIN = 24  # the case of a final sigma depends on what follows it
+
+
 def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(col) -> Column:
     """Both ends without Unicode white space (``trim`` alone takes only blanks)."""
     return F.btrim(as_col(col), F.lit(K.PY_WHITESPACE))
@@ -42,7 +50,8 @@ def slugify(col, max_chars: int = K.SLUG_CHARS) -> Column:
     """Folder-safe name: letters, numbers, ``_`` and ``-`` only, words capitalised."""
     kept = F.regexp_replace(as_col(col), r"(?U)[^\p{L}\p{N}_\s\x1C-\x1F\-]", "")
     joined = F.regexp_replace(py_strip(kept), r"(?U)[\s\x1C-\x1F_]+", "_")
-    single = F.regexp_replace(joined, "-+", "-")
+    # capitalising never shortens a text, so what lies far behind the cut cannot come into view
+    single = F.left(F.regexp_replace(joined, "-+", "-"), F.lit(max_chars + SLUG_MARGIN))
     words = F.transform(F.split(single, "_"), capitalize)
     return F.btrim(F.left(F.array_join(words, "_"), F.lit(max_chars)), F.lit("_"))
 

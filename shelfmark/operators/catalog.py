@@ -30,9 +30,11 @@ def with_size_mb(df: DataFrame, size: str = "size_bytes") -> DataFrame:
 
 def iso_text(col) -> Column:
     """ISO-8601 text of a local time; the fraction is printed only when there is one."""
-    micros = F.date_format(col, "SSSSSS")
-    base = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
+    # through text, not date_format: local times must not pass through a time zone
+    text = F.replace(F.col(col).cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+    fraction = F.split_part(text, F.lit("."), F.lit(2))
+    return F.when(fraction == "", text).otherwise(F.concat(
+        F.split_part(text, F.lit("."), F.lit(1)), F.lit("."), F.rpad(fraction, 6, "0")))
 
 
 def with_iso_times(df: DataFrame) -> DataFrame:

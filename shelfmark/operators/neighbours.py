@@ -94,19 +94,19 @@ def _work(points: DataFrame, pivots: np.ndarray, cells: tuple[np.ndarray, np.nda
     def block(cell):
         return F.pmod(F.xxhash64("gid"), F.greatest(F.element_at(counts, cell + 1), F.lit(1)).cast("bigint")).cast("int")
 
-    def upto(count):
-        return F.explode(F.sequence(F.lit(0), count - 1))
+    # inside a cell each pair of blocks meets once as well
+    last = F.when(F.col("own"), F.col("vb")).otherwise(F.element_at(counts, F.col("to") + 1) - 1)
 
     rest = [c for c in points.columns if c not in ("cell", "off")]
     visitors = (points.withColumn("to", F.explode(visited("vec", "cell")))
                 .withColumn("own", F.col("to") == F.col("cell"))
                 .withColumn("vb", block(F.col("cell"))).withColumn("vc", F.col("cell"))
-                .withColumn("rb", upto(F.element_at(counts, F.col("to") + 1)))
+                .withColumn("rb", F.explode(F.sequence(F.lit(0), last)))
                 .select(F.col("to").alias("cell"), "rb", "vc", "vb", F.lit(True).alias("visitor"), "own", *rest))
     # residents wait for the blocks of every cell that visits theirs
-    arrivals = visitors.select("cell", "vc", "vb").distinct()
+    arrivals = visitors.select("cell", "rb", "vc", "vb").distinct()
     residents = (points.withColumn("rb", block(F.col("cell")))
-                 .join(arrivals, "cell")
+                 .join(arrivals, ["cell", "rb"])
                  .select("cell", "rb", "vc", "vb", F.lit(False).alias("visitor"), F.lit(True).alias("own"), *rest))
     return visitors.unionByName(residents)
 
@@ -118,10 +118,10 @@ def _near(table: pa.Table, eps: float):
     if len(residents) == 0 or len(visitors) == 0:
         return residents, visitors, np.zeros((len(residents), len(visitors)), bool)
     near = 1.0 - blocks.matrix(residents["vec"]) @ blocks.matrix(visitors["vec"]).T <= eps + 1e-12
-    # inside one cell each pair counts once, and a point is not its own neighbour
-    own = visitors["own"].to_numpy().astype(bool)
-    r_ids, v_ids = residents["gid"].to_numpy(), visitors["gid"].to_numpy()
-    near &= ~own[None, :] | (v_ids[None, :] < r_ids[:, None])
+    if visitors["own"][0].as_py() and visitors["rb"][0] == visitors["vb"][0]:
+        # a block against itself: each pair counts once, and a point is not its own neighbour
+        r_ids, v_ids = residents["gid"].to_numpy(), visitors["gid"].to_numpy()
+        near &= v_ids[None, :] < r_ids[:, None]
     return residents, visitors, near
 
 

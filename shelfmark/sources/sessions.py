@@ -11,20 +11,19 @@ SESSION_FILE = ("session_id string, root_folder string, created_at string, "
                 "records array<struct<src:string,dst:string,timestamp:double>>, folders_created array<string>")
 
 
-def write_session(moves: DataFrame, out: str) -> list[str]:
-    """Append the moves of new sessions; returns their ids. No moves, nothing written.
+def write_session(moves: DataFrame, out: str) -> bool:
+    """Append the moves of new sessions. No moves, nothing written (False).
 
-    A session id that is there already is refused. Ids are few, one per run of the tool.
+    A session id that is there already is refused.
     """
-    spark = moves.sparkSession
-    ids = [r[0] for r in moves.select("session_id").distinct().collect()]
-    if not ids:
-        return []
-    known = read_sessions(spark, out).filter(F.col("session_id").isin(ids)).limit(1).collect()
-    if known:
-        raise ValueError(f"session {known[0]['session_id']} is recorded already")
+    known = read_sessions(moves.sparkSession, out).select("session_id").distinct()
+    again = known.join(moves.select("session_id").distinct(), "session_id", "left_semi").first()
+    if again is not None:
+        raise ValueError(f"session {again.session_id} is recorded already")
+    if moves.isEmpty():
+        return False
     moves.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(out)
-    return sorted(ids)
+    return True
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:

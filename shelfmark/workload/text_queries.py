@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import assemble as A, routing as R
+from ..runtime import cut_lineage
 from . import derived as D
 from .registry import query
 
@@ -233,7 +234,7 @@ def image_text(t):
 
 def assembled(t):
     """Every live file of the catalog with the text its kind of assembler makes."""
-    texts = R.route(_texts(t))
+    texts = cut_lineage(R.route(_texts(t)))
 
     def of(*routes):
         return texts.filter(F.col("route").isin(*routes))
