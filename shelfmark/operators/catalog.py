@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import paths
 from ..functions.text import short_float
+from ..runtime import cut_lineage
 
 
 def size_in_mb(size_bytes) -> Column:
@@ -125,8 +126,9 @@ def duplicate_files(df: DataFrame, content: str = "content", algorithm: str = "m
     Content is hashed where it is read and never shuffled; copies are counted before the
     shuffle. The joined side has one row per content, so a hot content can be split.
     """
-    hashed = with_digest(df.select("path", F.octet_length(content).alias("length"), content),
-                         content, algorithm)
+    # contents are read and hashed once: what is written here is a few bytes per file
+    hashed = cut_lineage(with_digest(df.select("path", F.octet_length(content).alias("length"), content),
+                                     content, algorithm))
     groups = (hashed.groupBy("digest", "length")
               .agg(F.count("*").alias("copies"), F.min("path").alias("keep"))
               .filter(F.col("copies") > 1))

@@ -64,12 +64,16 @@ def _score_block(q: pa.Table, b: pa.Table, k: int, metric: str) -> pa.Table:
                                                    "id": b["id"].slice(0, 0), "score": pa.array([], pa.float64())})
 
 
+def _place(found: pa.Table) -> np.ndarray:
+    """Position within the query, for rows that are grouped by query."""
+    ids = found["query_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return np.arange(len(ids)) - np.searchsorted(ids, ids)
+
+
 def _best(found: pa.Table, k: int) -> pa.Table:
     found = found.take(pc.sort_indices(found, [("query_id", "ascending"), ("score", "descending"),
                                                ("id", "ascending")]))
-    ids = found["query_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    place = np.arange(len(ids)) - np.searchsorted(ids, ids)
-    return found.filter(pa.array(place < k))
+    return found.filter(pa.array(_place(found) < k))
 
 
 def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
@@ -93,10 +97,12 @@ def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
             for batch in batches:
                 q = pa.Table.from_batches([batch])
                 for start in range(0, len(q), step):
-                    yield from _score_block(q.slice(start, step), table, k, metric).to_batches()
+                    found = _score_block(q.slice(start, step), table, k, metric)
+                    yield from found.append_column("rank", pa.array(_place(found) + 1)).to_batches()
 
-        found = sides[0].mapInArrow(per_query, schema)
-    elif is_small(sides[0], small_rows):
+        # every query saw the whole base in one place: nothing has to be shuffled
+        return sides[0].mapInArrow(per_query, schema + ", rank bigint")
+    if is_small(sides[0], small_rows):
         table = sides[0].toArrow()
 
         def per_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,7 @@ def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
     else:
         found = _topk_grid(*sides, k, small_rows, schema, metric)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by_score).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def _topk_grid(queries: DataFrame, base: DataFrame, k: int, rows: int, schema: str,

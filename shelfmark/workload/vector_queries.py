@@ -54,7 +54,7 @@ def kmeans_assign(t):
 def topk_inner_product(t):
     vectors = _vectors(t)
     found = V.topk_ip(vectors.select(F.col("id").alias("query_id"), "vec"), vectors)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 DBSCAN_EPS, DBSCAN_POINTS = 0.7, 3
@@ -104,7 +104,8 @@ def elbow_pick(t):
     return CL.elbow_pick(curve, ["grp"])
 
 
-@query("embed_text")
+@query("embed_text", """SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE
+  ELSE 0.0::DOUBLE END AS length FROM documents""")
 def embed_text(t):
     """Length of each vector and its number of entries: one row per document."""
     embedded = V.embed_text(t.documents.select("doc_id", "text"))
