@@ -59,13 +59,18 @@ def extract_all(files: DataFrame, assembled: list[DataFrame]) -> DataFrame:
                              F.lit(True).alias("_seen"))
         parts = frame if parts is None else parts.unionByName(frame)
     joined = guard_image(route(files)).withColumnRenamed("error", "_guard").join(parts, "path", "left")
-    missing = F.when(F.col("_seen").isNull(), F.concat(
-        F.lit("No pipeline for category '"), F.col("category"), F.lit("'")))
-    guarded = F.col("_guard").isNotNull()
+    unseen, guarded = F.col("_seen").isNull(), F.col("_guard").isNotNull()
+    # no child rows at all: a PDF still has its header, the others have nothing to show
+    bare_pdf = F.when(unseen & (F.col("category") == "pdf"), F.concat(
+        F.lit("[PDF: "), F.col("name"), F.lit(" | 0 pages]\n\n")))
+    silent = {K.NO_DOCUMENT_TEXT: ["document"], K.NO_SPEECH: ["audio"], K.NO_VIDEO_METADATA: ["video"],
+              K.NO_IMAGE_TEXT: ["image"]}
+    nothing = F.when(unseen & (F.col("category") != "pdf"), one_of(F.col("category"), silent, F.concat(
+        F.lit("No pipeline for category '"), F.col("category"), F.lit("'"))))
     return outcome(joined.withColumns({
-        "text": F.when(~guarded, F.col("text")),
+        "text": F.when(~guarded, F.coalesce("text", bare_pdf)),
         "extra": F.when(~guarded, F.col("extra")),
-        "error": F.coalesce("_guard", "error", missing)}).drop("_guard", "_seen"))
+        "error": F.coalesce("_guard", "error", nothing)}).drop("_guard", "_seen"))
 
 
 def extract_report(extracted: DataFrame) -> DataFrame:

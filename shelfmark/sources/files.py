@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import universal_newlines
 from ..operators.catalog import catalog
@@ -46,3 +46,10 @@ def write_organized(df: DataFrame, out: str, fmt: str = "parquet", mode: str = "
     """
     named = df.withColumn("level1", F.coalesce("level1", F.lit("")))
     named.hint("rebalance", "level1", "level2").write.mode(mode).partitionBy("level1", "level2").format(fmt).save(out)
+
+
+def read_organized(spark: SparkSession, out: str, fmt: str = "parquet") -> DataFrame:
+    """What ``write_organized`` wrote; folder names stay text (2024-03 is not a date)."""
+    found = spark.read.format(fmt).load(out).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ("level1", "level2") else f for f in found]
+    return spark.read.format(fmt).schema(T.StructType(fields)).load(out)

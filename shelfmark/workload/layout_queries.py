@@ -115,6 +115,5 @@ def write_organized(t):
     out = scratch_path(t.spark, "organised")
     docs = t.documents.select(F.col("doc_id").alias("seq"), "text")
     S.write_organized(D.date_plan(t).select("seq", "level1", "level2", "dst").join(docs, "seq"), out)
-    back = t.spark.read.parquet(out)
-    return back.groupBy(F.date_format("level1", "yyyy-MM").alias("level1") if dict(back.dtypes)["level1"] == "date" else "level1",
-                        "level2").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+    return S.read_organized(t.spark, out).groupBy("level1", "level2").agg(
+        F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))

@@ -131,6 +131,21 @@ def test_outcome_and_fallback(spark):
     assert got[0].error == "No pipeline for category 'unknown'" and len(got[1].text) == 4000
 
 
+def test_extract_all_keeps_every_file(spark):
+    files = C.catalog(spark.createDataFrame(
+        [(p, s, None) for p, s in [("/r/a.txt", 1), ("/r/b.pdf", 1), ("/r/c.mp3", 1), ("/r/d.mp4", 1), ("/r/e.jpg", 1),
+                                   ("/r/f.xyz", 1), ("/r/g.png", 21 * 1048576), ("/r/h.md", 1)]],
+        "path string, length bigint, modified timestamp_ntz"))
+    docs = A.document_text(spark.createDataFrame([("/r/a.txt", "hello")], "path string, text string"))
+    images = spark.createDataFrame([("/r/g.png", "seen", None)], "path string, text string, error string")
+    got = {r.name: (r.text, r.error, r.success) for r in R.extract_all(files, [docs, images]).collect()}
+    assert got == {
+        "a.txt": ("[Document: a.txt]\n\nhello", None, True), "b.pdf": ("[PDF: b.pdf | 0 pages]", None, True),
+        "c.mp3": ("", "No speech detected in audio", False), "d.mp4": ("", "Could not read video metadata", False),
+        "e.jpg": ("", "Vision model returned no output", False), "f.xyz": ("", "No pipeline for category 'unknown'", False),
+        "g.png": ("", "Image too large: 21.0 MB > 20 MB", False), "h.md": ("", "No text extracted from document", False)}
+
+
 def test_files_on_disk(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a b.txt").write_bytes(b"a\xffb\r\nc\rd")
