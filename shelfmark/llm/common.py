@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -49,3 +51,9 @@ def large_text(column: pa.Array) -> pa.Array:
     """A text column as large strings from offset 0 (string kernels go wrong on slices); null is empty."""
     text = pc.fill_null(column.cast(pa.large_string()), "")
     return pa.concat_arrays([text, text.slice(0, 0)])
+
+
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs now: Spark drops them when the driver collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

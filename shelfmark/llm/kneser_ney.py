@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import cut_lineage
-from .common import large_text
+from .common import large_text, release
 
 BATCH_BYTES = 12 << 20
 SHARD_BYTES = 24 << 20
@@ -293,6 +293,8 @@ def fit(indexed: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
         return pa.Table.from_batches([_chunks(_merge_words(table))])
 
     words = cut_lineage(merged.filter("kind in ('count', 'left', 'context')").groupBy("shard").applyInArrow(join, CHUNK))
+    del folded
+    release(indexed.sparkSession)
     bigrams = merged.filter("kind = 'bigrams'")
 
     def sums(df: DataFrame, n: int) -> list[int]:
