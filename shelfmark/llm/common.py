@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +55,17 @@ def large_text(column: pa.Array) -> pa.Array:
 
 
 def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished jobs now: Spark drops them when the driver collects their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Free the shuffle files of finished jobs now: Spark drops them when the driver collects their plans.
+
+    Plans that refer to each other go in the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more, whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -12,7 +12,8 @@ a context. A shard is memory-mapped from a temporary file by the worker that loo
 3. ``score`` sends each batch's distinct hashes to the shards and gets arrays of counts back, so
    neither the model nor the texts have to fit anywhere as a whole.
 
-The number of shards grows with the bytes of text. Words have hashes of 56 bits, as have bigrams.
+The number of shards grows with the bytes of text. Words have hashes of 56 bits; bigrams have 20 bits
+more than it takes to number the bytes of the indexed corpus.
 Nothing is pruned or capped: every n-gram of every training document is counted.
 
 Defined results: a null or empty text is one end token; a document without an id is training text;
@@ -33,12 +34,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut_lineage
-from .common import large_text, release
+from ..runtime import cut_lineage, scratch_path
+from .common import large_text, release, remove
 
 BATCH_BYTES = 12 << 20
 SHARD_BYTES = 24 << 20
 FOLDS, HELD_OUT = 5, 1
+SPARE_BITS = 20
 BITS = np.uint64(8)  # hashes keep 64 - 8 bits
 END, START = 1, 2  # hashes of the marks; no word is given one of them on purpose
 
@@ -71,13 +73,13 @@ def pack(a: np.ndarray, dtype: str = "<u4") -> bytes:
 unpack = _unplanes
 
 
-def mix(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def mix(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     """Hash of a bigram."""
     h = v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return h >> BITS
+    return h >> np.uint64(64 - bits)
 
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -187,7 +189,7 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_pairs(table: pa.Table, shards: int) -> list[tuple]:
+def _merge_pairs(table: pa.Table, shards: int, bits: int) -> list[tuple]:
     v, w, n = [], [], []
     for keys, a, b, c in zip(*(table[x].to_pylist() for x in ("keys", "a", "b", "c"))):
         words = unpack_sorted(keys)
@@ -201,7 +203,7 @@ def _merge_pairs(table: pa.Table, shards: int) -> list[tuple]:
     v, w, n = v[first], w[first], np.add.reduceat(n, first)
     one = np.ones(len(n), np.int64)
     contexts = _sum_by(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
-    keys = mix(v, w)
+    keys = mix(v, w, bits)
     order = np.argsort(keys)
     shard = int(table["shard"][0].as_py())
     return [("bigrams", shard, pack_sorted(keys[order]), pack(n[order]), *[None] * 4, [len(n), *_of_counts(n)]),
@@ -232,6 +234,7 @@ class Model:
     """The tables of sorted hash arrays and the numbers that all shards share."""
     table: DataFrame  # rows of kinds bigrams, words and more
     shards: int
+    bits: int  # of a bigram's hash
     tokens: int  # training tokens
     distinct: int  # distinct training tokens
     types: int  # distinct bigrams
@@ -253,6 +256,8 @@ def fit(indexed: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count the training documents of an indexed corpus."""
     total = indexed.agg(F.sum(F.octet_length("tokens") + F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-3 * total // shard_bytes))  # an indexed text takes about a third of its bytes
+    # there are fewer bigrams than bytes: an unseen one is taken for a seen one once in 2 ** SPARE_BITS times at most
+    bits = min(60, SPARE_BITS + int(total + 1).bit_length())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +268,7 @@ def fit(indexed: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
                     continue
                 pairs, n = np.unique(own.pairs()[train], return_counts=True)
                 v, w = own.hashes(pairs)
-                shard = (mix(v, w) % np.uint64(shards)).astype(np.int64)
+                shard = (mix(v, w, bits) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 rows = []
                 for s, cut in _cuts(shard[order]):
@@ -282,20 +287,24 @@ def fit(indexed: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
 
     def merge(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() == "pairs":
-            rows = _merge_pairs(table, shards)
+            rows = _merge_pairs(table, shards, bits)
         else:  # counts of words go on to the shard of the word
             rows = [tuple(r.values()) for r in table.to_pylist()]
         return pa.Table.from_batches([_chunks(rows)])
 
-    merged = cut_lineage(folded.groupBy("kind", "shard").applyInArrow(merge, CHUNK))
+    spark, path = indexed.sparkSession, scratch_path(indexed.sparkSession, "kneser-ney")
+    folded.groupBy("kind", "shard").applyInArrow(merge, CHUNK).write.partitionBy("kind").parquet(path)
+    merged = spark.read.schema(CHUNK).parquet(path)
 
     def join(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_chunks(_merge_words(table))])
 
     words = cut_lineage(merged.filter("kind in ('count', 'left', 'context')").groupBy("shard").applyInArrow(join, CHUNK))
-    del folded
-    release(indexed.sparkSession)
-    bigrams = merged.filter("kind = 'bigrams'")
+    for kind in ("count", "left", "context"):
+        remove(spark, f"{path}/kind={kind}")
+    del folded, merged
+    release(spark)
+    bigrams = spark.read.schema(CHUNK).parquet(path).filter("kind = 'bigrams'")
 
     def sums(df: DataFrame, n: int) -> list[int]:
         row = df.agg(*[F.sum(F.get("stats", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
@@ -305,7 +314,7 @@ def fit(indexed: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     tokens, distinct, left, *left_counts, more = sums(words.filter("kind = 'words'"), 8)
     pair, word = discounts(pair_counts), discounts(left_counts)
     rest = (word[0] * left_counts[0] + word[1] * left_counts[1] + word[2] * more) / types if types else 1.0
-    return Model(bigrams.unionByName(words), shards, tokens, distinct, types, (pair, word), rest)
+    return Model(bigrams.unionByName(words), shards, bits, tokens, distinct, types, (pair, word), rest)
 
 
 # --- scoring --------------------------------------------------------------------------------------
@@ -337,10 +346,10 @@ REPLY = "batch bigint, kind string, shard int, a binary, b binary, c binary, d b
 _REPLY_TYPES = [pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 4]
 
 
-def _queries(own: Batch, shards: int) -> tuple[list, list, np.ndarray, np.ndarray]:
+def _queries(own: Batch, shards: int, bits: int) -> tuple[list, list, np.ndarray, np.ndarray]:
     """Hashes that a batch asks for, shard by shard, and the order in which it asks: bigrams, words."""
     pairs = np.unique(own.pairs())
-    keys = mix(*own.hashes(pairs))
+    keys = mix(*own.hashes(pairs), bits)
     out, orders = [], []
     for hashes in (keys, np.append(own.words, np.uint64(START))):
         shard = (hashes % np.uint64(shards)).astype(np.int64)
@@ -352,13 +361,13 @@ def _queries(own: Batch, shards: int) -> tuple[list, list, np.ndarray, np.ndarra
 
 def score(indexed: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    shards, discount, types, rest, distinct, tokens = (model.shards, model.discounts, model.types, model.rest,
-                                                       model.distinct, model.tokens)
+    shards, bits, discount, types = model.shards, model.bits, model.discounts, model.types
+    rest, distinct, tokens = model.rest, model.distinct, model.tokens
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number_, *parts in zip(*(batch.column(c).to_pylist() for c in ("batch", "sizes", "words", "tokens"))):
-                bigrams, words, *_ = _queries(Batch(*parts), shards)
+                bigrams, words, *_ = _queries(Batch(*parts), shards, bits)
                 rows = [(kind, s, number_, pack_sorted(h)) for kind, asked in (("bigrams", bigrams), ("words", words))
                         for s, h in asked]
                 yield pa.RecordBatch.from_arrays(
@@ -403,7 +412,7 @@ def score(indexed: DataFrame, model: Model) -> DataFrame:
         rows = sorted((r for r in table.select(["kind", "shard", "a", "b", "c", "d"]).to_pylist() if r["kind"]),
                       key=lambda r: (r["kind"], r["shard"]))
         own = Batch(texts["sizes"], texts["words"], texts["tokens"])
-        *_, pairs, (pair_order, word_order) = _queries(own, shards)
+        *_, pairs, (pair_order, word_order) = _queries(own, shards, bits)
 
         def column(kind: str, name: str, dtype: str, order: np.ndarray) -> np.ndarray:
             values = np.concatenate([unpack(r[name], dtype) for r in rows if r["kind"] == kind])
