@@ -28,8 +28,8 @@ def joined_spans(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _count(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+def _count(spans: Column, value: str, field: str = "kind") -> Column:
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("bigint")
 
 
 def op1_simhash_vp_trees(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,8 +49,7 @@ def op3_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
     flagged = secret_scan.flag(secret_scan.scan(docs, owner="source", repository="repository"))
     base = F.filter("findings", lambda f: f["kind"] != "token")
-    verdicts = [F.size(F.filter("findings", lambda f, v=v: f["verdict"] == v)).cast("bigint").alias(f"n_{v}")
-                for v in ("live", "example", "weak")]
+    verdicts = [_count(F.col("findings"), v, "verdict").alias(f"n_{v}") for v in ("live", "example", "weak")]
     return flagged.select("doc_id", *[_count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                           F.sha2(joined_spans(base), 256).alias("base_sha256"),
                           joined_spans(F.col("findings")).alias("spans"), *verdicts)
