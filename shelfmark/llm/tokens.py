@@ -24,7 +24,7 @@ CACHED_PIECES = 600_000  # a bound on memory only: pieces that are dropped are e
 JOINED_PIECES = 256
 PART_BYTES = 8 << 20
 # white space other than single spaces, single or double line breaks; and the mark for a line break
-_UNSAFE = (r"  | \n|\n |\n\n\n|\n\n\z|\A[ \n]| \z|[\t\r\f\x0b\x1c-\x1f\x01]|"
+_UNSAFE = (r"  | \n|\n |\n\n\n|\n\n\z| \z|[\t\r\f\x0b\x1c-\x1f\x01]|"
            r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
