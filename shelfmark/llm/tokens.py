@@ -10,6 +10,7 @@ encoding of whole texts.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 
@@ -28,6 +29,10 @@ _UNSAFE = (r"  | \n|\n |\n\n\n|\n\n\z| \z|[\t\r\f\x0b\x1c-\x1f\x01]|"
            r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
+_unsafe = re.compile(_UNSAFE.replace(r"\z", r"\Z").replace(r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
+                     "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")).search
+
+
 def vocabulary_file(name: str = DEFAULT_FILE) -> str:
     import public_tokenizers
 
@@ -101,6 +106,16 @@ class PieceEncoder:
             self.firsts[word] = self.whole(word)
         return self.firsts[word]
 
+    def count(self, text: str) -> int:
+        """Number of ids of a short text, without the arrays that ``encode`` makes."""
+        if _unsafe(text):
+            return len(self.whole(text)) // 4
+        first, *rest = text.replace("\n", " \x01").split(" ")
+        missing = {p for p in rest if p[:1] != "\x01" and p not in self.cache}
+        if missing:
+            self._learn(missing)
+        return (len(self._first(first)) + sum([len(self._piece(p)) for p in rest])) // 4
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a column of texts, the same as encoding each whole text; null is empty."""
         if column.nbytes > PART_BYTES and len(column) > 1:  # parts of bounded bytes, to bound memory
