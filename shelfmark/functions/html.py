@@ -23,13 +23,14 @@ def _lookup(table: dict[str, str]) -> Column:
 def _decode(piece: Column) -> Column:
     """``piece`` is what follows an ``&``; turn a leading reference into its character."""
     name = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
-    decimal = F.regexp_extract(piece, r"^#([0-9]{1,7});?", 1)
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
-    number = F.when(decimal != "", decimal.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+    decimal = F.regexp_extract(piece, r"^#0*([0-9]+);?", 1)
+    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+);?", 1)
+    number = (F.when(F.length(decimal).between(1, 7), decimal.cast("int"))
+              .when(F.length(hexa).between(1, 6), F.conv(hexa, 16, 10).cast("int")))
     # UTF-32 reaches every code point; chr() stops at 255
     char = F.when((number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF),
                   F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    used = F.length(F.regexp_extract(piece, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 0))
+    used = F.length(F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0))
     named = F.coalesce(F.try_element_at(_lookup(_COMMON), name),
                        F.try_element_at(_lookup(html.entities.html5), name))
     return F.coalesce(F.concat(named, F.substr(piece, F.length(name) + 1)),

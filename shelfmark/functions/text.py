@@ -7,9 +7,6 @@ from pyspark.sql import Column, functions as F
 from .. import constants as K
 
 
-SLUG_MARGIN = 24  # the case of a final sigma depends on what follows it
-
-
 def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
@@ -50,10 +47,10 @@ def slugify(col, max_chars: int = K.SLUG_CHARS) -> Column:
     """Folder-safe name: letters, numbers, ``_`` and ``-`` only, words capitalised."""
     kept = F.regexp_replace(as_col(col), r"(?U)[^\p{L}\p{N}_\s\x1C-\x1F\-]", "")
     joined = F.regexp_replace(py_strip(kept), r"(?U)[\s\x1C-\x1F_]+", "_")
-    # capitalising never shortens a text, so what lies far behind the cut cannot come into view
-    single = F.left(F.regexp_replace(joined, "-+", "-"), F.lit(max_chars + SLUG_MARGIN))
-    words = F.transform(F.split(single, "_"), capitalize)
-    return F.btrim(F.left(F.array_join(words, "_"), F.lit(max_chars)), F.lit("_"))
+    words = F.split(F.regexp_replace(joined, "-+", "-"), "_")
+    # words that start behind the cut cannot come into view: capitalising never shortens a text
+    seen = F.slice(words, 1, max_chars)
+    return F.btrim(F.left(F.array_join(F.transform(seen, capitalize), "_"), F.lit(max_chars)), F.lit("_"))
 
 
 def csv_cells(line) -> Column:
@@ -61,8 +58,10 @@ def csv_cells(line) -> Column:
     line = as_col(line)
     # a leading comma lets every cell start with one, so that no match is empty
     raw = F.regexp_extract_all(F.concat(F.lit(","), line),
-                               F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), F.lit(1))
-    unquoted = F.transform(raw, lambda c: F.when(
-        F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1),
-        F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+                               F.lit(r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'), F.lit(1))
+    quoted = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
+    # what follows a closing quote belongs to the cell as it stands
+    unquoted = F.transform(raw, lambda c: F.when(c.rlike("(?s)" + quoted), F.concat(
+        F.replace(F.regexp_extract(c, "(?s)" + quoted, 1), F.lit('""'), F.lit('"')),
+        F.regexp_extract(c, "(?s)" + quoted, 2))).otherwise(c))
     return F.when(line == "", F.array().cast("array<string>")).otherwise(unquoted)

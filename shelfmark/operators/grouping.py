@@ -16,6 +16,13 @@ RANGE_BITS = 20  # rows of one group handled together: at most 2^20 distinct ord
 TEXT_BITS = 12
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on group keys where a null key is a group like any other."""
+    other = right.select(*[F.col(c).alias(f"_key_{c}" if c in keys else c) for c in right.columns])
+    same = [left[k].eqNullSafe(other[f"_key_{k}"]) for k in keys]
+    return left.join(other, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
                   bits: int = RANGE_BITS) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come strictly before.
@@ -29,7 +36,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
                             F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (ranged.withColumn("_local", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-            .join(offsets, [*keys, "_range"])
+            .transform(join_groups, offsets, [*keys, "_range"])
             .withColumn(out, F.col("_local") + F.col("_offset"))
             .drop("_range", "_value", "_local", "_offset"))
 

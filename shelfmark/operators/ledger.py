@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from .. import constants as K
 from ..functions import paths
+from ..runtime import cut_lineage
 from .grouping import rank_in_group
 
 
@@ -73,25 +74,41 @@ def undo(moves: DataFrame, current: DataFrame, session_id: str | None = None,
         chosen = moves.join(newest, "session_id", "left_semi")
     else:
         chosen = moves.filter(F.col("session_id") == session_id)
-    here = current.select(F.col("path").alias("dst"), F.lit(True).alias("_there"))
-    out = chosen.join(here, "dst", "left")
-    gone = F.when(F.col("_there").isNull(), F.concat(F.lit("File no longer at destination: "), F.col("dst")))
-    if overwrite:
-        error = gone
-    else:
-        taken = current.select(F.col("path").alias("src"), F.lit(True).alias("_taken"))
-        out = out.join(taken, "src", "left")
-        error = F.coalesce(gone, F.when(F.col("_taken").isNotNull() & (F.col("src") != F.col("dst")),
-                                        F.concat(F.lit("Origin is occupied: "), F.col("src"))))
-    return (out.select("session_id", "seq", "src", "dst", error.alias("error"))
-            .orderBy(F.desc("seq")))
+    # last move first: a file undone before (a higher seq) has left its dst and is back at its src.
+    # What a move finds depends on such moves, so outcomes are settled in rounds: a round settles
+    # every move whose predecessors are settled, and the last one changes nothing.
+    moves_ = chosen.select("session_id", "seq", "src", "dst", F.lit(True).alias("done"))
+    snapshot = current.select("path").distinct().withColumn("_here", F.lit(True))
+    while True:
+        touched = moves_.select("seq", "done", F.explode(F.array(
+            F.struct(F.col("src").alias("path"), F.lit(True).alias("adds"), F.lit(True).alias("after")),
+            F.struct(F.col("dst").alias("path"), F.lit(False).alias("adds"), (F.col("src") == F.col("dst")).alias("after")))).alias("e")).select("seq", "done", "e.*")
+        before = Window.partitionBy("path").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+        seen = (touched.join(snapshot, "path", "left")
+                .withColumn("there", F.coalesce(F.last(F.when(F.col("done"), F.col("after")), True).over(before),
+                                                F.col("_here"), F.lit(False)))
+                .groupBy("seq").agg(F.max(F.when(F.col("adds"), F.col("there"))).alias("origin"),
+                                    F.max(F.when(~F.col("adds"), F.col("there"))).alias("there")))
+        gone = F.when(~F.col("there"), F.concat(F.lit("File no longer at destination: "), F.col("dst")))
+        taken = F.when(F.col("origin") & (F.col("src") != F.col("dst")) & F.lit(not overwrite),
+                       F.concat(F.lit("Origin is occupied: "), F.col("src")))
+        counted = Observation()
+        out = cut_lineage(moves_.join(seen, "seq").withColumn("error", F.coalesce(gone, taken)).observe(
+            counted, F.count_if(F.col("error").isNull() != F.col("done")).alias("changed")))
+        if not counted.get["changed"]:
+            return out.select("session_id", "seq", "src", "dst", "error").orderBy(F.desc("seq"))
+        moves_ = out.select("session_id", "seq", "src", "dst", F.col("error").isNull().alias("done"))
 
 
 def undone_catalog(current: DataFrame, undone: DataFrame) -> DataFrame:
-    """Paths after an undo: restored files are back at their origin."""
-    back = undone.filter(F.col("error").isNull()).select(F.col("dst").alias("path"), "src")
-    return (current.select("path").join(back, "path", "left")
-            .select(F.coalesce("src", "path").alias("path")))
+    """Paths after an undo: of what the undo did to a path the last step counts."""
+    done = undone.filter(F.col("error").isNull())
+    steps = done.select(F.col("src").alias("path"), "seq", F.lit(True).alias("adds")).unionByName(
+        done.select(F.col("dst").alias("path"), "seq", F.lit(False).alias("adds")))
+    # the smallest seq is undone last; a move onto itself leaves the file
+    last = steps.groupBy("path").agg(F.min_by("adds", F.struct("seq", ~F.col("adds"))).alias("adds"))
+    return (current.select("path").join(last, "path", "left_anti")
+            .unionByName(last.filter("adds").select("path")))
 
 
 def undo_report(undone: DataFrame, session_id: str) -> DataFrame:

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,6 @@ from ..runtime import cut_lineage
 from .grouping import rank_all
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-SMALL_LINKS = 1 << 20  # up to this many links one task joins them up
 SLACK = 1e-9  # distances are doubles: pruning must not cut at the last digit
 
 
@@ -38,11 +37,11 @@ def _points(df: DataFrame) -> DataFrame:
 
 
 def _with_pivots(points: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """Add ``cell`` and the distance ``off`` to its pivot; pivots are at most MAX_PIVOTS points."""
+    """Add ``cell`` and the distance ``off`` to its pivot; the number of pivots grows with that of points."""
     counted = Observation()
     points = cut_lineage(points.observe(counted, F.count("*").alias("n")))
     n = counted.get["n"]
-    wanted = min(MAX_PIVOTS, max(1, n // block_rows))
+    wanted = max(1, min(n // block_rows, math.isqrt(n)))
     sample = points.orderBy(F.xxhash64("gid")).limit(wanted).select("vec").toArrow()
     pivots = blocks.matrix(sample["vec"])
 
@@ -197,34 +196,14 @@ def components(links: DataFrame) -> DataFrame:
                   .select("node", F.coalesce("y", "root").alias("root")))
 
 
-def small_components(links: DataFrame) -> DataFrame:
-    """The same as ``components`` in one task, for a number of links that was counted before."""
-    id_type = links.schema["a"].dataType.simpleString()
-
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-        nodes = list(root)
-        yield pa.RecordBatch.from_pydict({"node": nodes, "root": [find(n) for n in nodes]})
-
-    return links.select("a", "b").coalesce(1).mapInArrow(join_up, f"node {id_type}, root {id_type}")
-
-
 def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_MIN_POINTS,
-           block_rows: int = BLOCK_ROWS, small_links: int = SMALL_LINKS) -> DataFrame:
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster): ``cluster_<i>`` in the order of the smallest core point, or "misc" for noise.
 
     ``df``: id (unique), vec. Neighbours are within cosine distance ``eps``; a point counts itself.
+    Rows without a vector are noise.
     """
+    every, df = df, df.filter("vec is not null")
     id_type = df.schema["id"].dataType.simpleString()
     points, pivots = _with_pivots(_points(df), block_rows)
     cells = _cells(points, pivots, block_rows)
@@ -232,11 +211,8 @@ def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_
     total = F.col("weight") + F.coalesce("degree", F.lit(0))
     cored = cut_lineage(points.join(degree, "gid", "left")
                         .withColumn("core", total >= min_points).drop("degree"))
-    counted = Observation()
-    links = cut_lineage(_links(_work(cored, pivots, cells, eps), eps, id_type)
-                        .observe(counted, F.count_if(~F.col("border")).alias("n")))
-    inner = links.filter("not border")
-    roots = small_components(inner) if counted.get["n"] <= small_links else components(inner)
+    links = cut_lineage(_links(_work(cored, pivots, cells, eps), eps, id_type))
+    roots = components(links.filter("not border"))
     # core points without a core neighbour are clusters of their own
     cores = (cored.filter("core").select("gid").join(roots.withColumnRenamed("node", "gid"), "gid", "left")
              .select("gid", F.coalesce("root", "gid").alias("root")))
@@ -247,6 +223,8 @@ def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_
                .groupBy(F.col("a").alias("gid")).agg(F.min("number").alias("number")))
     labels = numbered.unionByName(borders)
     members = df.join(df.groupBy("vec").agg(F.min("id").alias("gid")), "vec").select("id", "gid")
+    missing = every.filter("vec is null").select("id", F.lit(K.NOISE_LABEL).alias("cluster"))
     return (members.join(labels, "gid", "left")
             .select("id", F.coalesce(F.concat(F.lit("cluster_"), F.col("number").cast("string")),
-                                     F.lit(K.NOISE_LABEL)).alias("cluster")))
+                                     F.lit(K.NOISE_LABEL)).alias("cluster"))
+            .unionByName(missing))

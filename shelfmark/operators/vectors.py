@@ -15,7 +15,7 @@ from .. import constants as K
 from ..functions import blocks
 from .enrich import score_batches
 
-SMALL_ROWS = 8192      # a side up to this many vectors is copied to every task
+BLOCK_ROWS = 8192      # vectors of a side that meet in one block pair
 CELLS_AT_ONCE = 1 << 22  # scores held in memory by a task at one time
 
 
@@ -40,10 +40,6 @@ def embed_text(df: DataFrame, make_fn: Callable | None = None, text: str = "text
     return scaled.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_idf", "_unit")
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def _score_block(q: pa.Table, b: pa.Table, k: int, metric: str) -> pa.Table:
     """Top k of ``b`` for every row of ``q``; ``b`` is taken in pieces that fit in memory."""
     b = b.take(pc.sort_indices(b["id"]))
@@ -77,53 +73,24 @@ def _best(found: pa.Table, k: int) -> pa.Table:
 
 
 def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
-            small_rows: int = SMALL_ROWS, metric: str = "ip") -> DataFrame:
+            block_rows: int = BLOCK_ROWS, metric: str = "ip") -> DataFrame:
     """Exact k best matches: (query_id, id, score, rank); ties by id.
 
     The score is the inner product ("ip") or minus half the squared Euclidean distance ("l2").
 
-    ``queries``: query_id, vec. ``base``: id, vec. No pairs are emitted. A side of at most
-    ``small_rows`` vectors (counted first) is copied to the tasks; when both are larger, both are
-    cut into blocks and every pair of blocks is one group of bounded size.
+    ``queries``: query_id, vec. ``base``: id, vec. No pairs are emitted: both sides are cut into
+    blocks, every pair of blocks is one group of bounded size, and leaves k rows per query.
     """
-    sides = queries.select("query_id", "vec"), base.select("id", "vec")
     id_type, query_type = base.schema["id"].dataType, queries.schema["query_id"].dataType
     schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
-    if is_small(sides[1], small_rows):
-        table = sides[1].toArrow()
-
-        def per_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, CELLS_AT_ONCE // max(1, len(table)))
-            for batch in batches:
-                q = pa.Table.from_batches([batch])
-                for start in range(0, len(q), step):
-                    found = _score_block(q.slice(start, step), table, k, metric)
-                    yield from found.append_column("rank", pa.array(_place(found) + 1)).to_batches()
-
-        # every query saw the whole base in one place: nothing has to be shuffled
-        return sides[0].mapInArrow(per_query, schema + ", rank bigint")
-    if is_small(sides[0], small_rows):
-        table = sides[0].toArrow()
-
-        def per_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = None
-            for batch in batches:
-                new = _score_block(table, pa.Table.from_batches([batch]), k, metric)
-                kept = new if kept is None else _best(pa.concat_tables([kept, new]), k)
-            if kept is not None:
-                yield from kept.to_batches()
-
-        found = sides[1].mapInArrow(per_base, schema)
-    else:
-        found = _topk_grid(*sides, k, small_rows, schema, metric)
+    found = _topk_grid(queries.select("query_id", "vec"), base.select("id", "vec"), k, block_rows, schema, metric)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by_score).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def _topk_grid(queries: DataFrame, base: DataFrame, k: int, rows: int, schema: str,
                metric: str) -> DataFrame:
-    q_blocks = -(-queries.count() // rows)
-    b_blocks = -(-base.count() // rows)
+    q_blocks, b_blocks = (max(1, -(-side.count() // rows)) for side in (queries, base))
 
     def cells(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)))
@@ -138,13 +105,13 @@ def _topk_grid(queries: DataFrame, base: DataFrame, k: int, rows: int, schema: s
     return (left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(one_cell, schema))
 
 
-def kmeans_assign(df: DataFrame, centroids: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def kmeans_assign(df: DataFrame, centroids: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster, distance): nearest centroid by Euclidean distance, ties to the smaller number.
 
     ``df``: id, vec. ``centroids``: cluster, vec.
     """
     best = topk_ip(df.select(F.col("id").alias("query_id"), "vec"),
-                   centroids.select(F.col("cluster").alias("id"), "vec"), 1, small_rows, "l2")
+                   centroids.select(F.col("cluster").alias("id"), "vec"), 1, block_rows, "l2")
     return best.select(F.col("query_id").alias("id"), F.col("id").alias("cluster"),
                        F.sqrt(F.greatest(F.col("score") * -2, F.lit(0.0))).alias("distance"))
 

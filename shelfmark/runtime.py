@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +29,8 @@ def build_session(app: str = "shelfmark", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local run, where driver and
-    executors share one disk, may fall back to a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Where nobody did, it is a folder below the
+    warehouse, which Spark shares as well.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -41,9 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shelfmark-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(f"{warehouse}/_scratch")
         current = sc.getCheckpointDir()
     return current
 

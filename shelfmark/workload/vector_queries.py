@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import clusters as CL, neighbours as N, vectors as V
 from .registry import query
 
+# small blocks, so that small tables are cut into many block pairs too
+BLOCK_ROWS = 64
+
 RAW_SQL = """raw AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 11 = 0 THEN 0.0::DOUBLE
   ELSE x::DOUBLE * (vec_id % 7 + 1) END) AS v FROM embeddings)"""
 
@@ -44,7 +47,7 @@ def kmeans_update(t):
     list_distance(embedding::DOUBLE[], c) AS dist FROM embeddings, centroids)
   SELECT id, cluster, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(dist, 12), cluster) = 1""")
 def kmeans_assign(t):
-    return V.kmeans_assign(_vectors(t), _label_means(t)).select("id", "cluster", F.round("distance", 6).alias("distance"))
+    return V.kmeans_assign(_vectors(t), _label_means(t), BLOCK_ROWS).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
 @query("topk_inner_product", """WITH p AS (SELECT q.vec_id AS query_id, b.vec_id AS id,
@@ -53,7 +56,7 @@ def kmeans_assign(t):
   WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, id) QUALIFY row_number() OVER w <= 3""")
 def topk_inner_product(t):
     vectors = _vectors(t)
-    found = V.topk_ip(vectors.select(F.col("id").alias("query_id"), "vec"), vectors)
+    found = V.topk_ip(vectors.select(F.col("id").alias("query_id"), "vec"), vectors, block_rows=BLOCK_ROWS)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -79,7 +82,7 @@ def _points_with_copies(t):
     ELSE concat('cluster_', CAST(coalesce(num.n, edge.n) AS VARCHAR)) END AS cluster
   FROM pts p LEFT JOIN num ON p.id = num.id LEFT JOIN edge ON p.id = edge.id""")
 def dbscan_labels(t):
-    return N.dbscan(_points_with_copies(t), DBSCAN_EPS, DBSCAN_POINTS)
+    return N.dbscan(_points_with_copies(t), DBSCAN_EPS, DBSCAN_POINTS, BLOCK_ROWS)
 
 
 @query("kmeans_labels")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import html, paths, replies, text
+from shelfmark.operators import grouping
 
 
 def values(spark, items, fn, kind="string"):
@@ -128,3 +129,14 @@ def test_validate_metadata(spark):
 def test_cluster_name(spark):
     items = [" Travel Photos \nmore", "", "x" * 60, "\n\n", None]
     assert values(spark, items, replies.cluster_name) == ["Travel Photos", "Miscellaneous", "x" * 50, "Miscellaneous", "Miscellaneous"]
+
+
+def test_cells_keep_what_follows_a_quote_and_references_with_zeros(spark):
+    df = spark.createDataFrame([('"ab"cd,e,"x,""y"', "a&#00000065;b&#x0000042;")], "line string, page string")
+    row = df.select(text.csv_cells("line").alias("cells"), html.unescape("page").alias("plain")).first()
+    assert row.cells == ["abcd", "e", 'x,"y'] and row.plain == "aAbB"
+
+
+def test_groups_with_a_null_key_stay(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, o bigint")
+    assert sorted(r["rank"] for r in grouping.rank_in_group(df, ["g"], "o").collect()) == [0, 0, 1]

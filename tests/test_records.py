@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -208,3 +209,33 @@ def test_relation_mode_from_texts_to_plan(spark):
     got = {r.src: r.dst for r in plan.collect()}
     assert len(got) == 30
     assert got["/r/0.txt"] == "/r/Bills_Folder/Documents/0.txt" and got["/r/4.txt"] == "/r/Trips_Folder/Documents/4.txt"
+
+
+def undone_file_by_file(moves, files):
+    files, errors = set(files), {}
+    for seq, src, dst in sorted(moves, reverse=True):
+        if dst not in files:
+            errors[seq] = f"File no longer at destination: {dst}"
+        elif src in files and src != dst:
+            errors[seq] = f"Origin is occupied: {src}"
+        else:
+            errors[seq] = None
+            files = files - {dst} | {src}
+    return errors, files
+
+
+def test_undo_runs_last_move_first(spark):
+    """Chains, swaps through a third name, and files that are missing inside a chain."""
+    rng = random.Random(8)
+    ledgers = [([(0, "/r/T/a", "/r/U/a"), (1, "/x/a", "/r/T/a")], ["/r/U/a", "/r/T/a"]),
+               ([(0, "a", "t"), (1, "b", "a"), (2, "t", "b")], ["a", "b"]), ([(0, "a", "b"), (1, "b", "c"), (2, "c", "d")], ["d"]),
+               ([(0, "a", "b"), (1, "b", "c"), (2, "c", "d")], ["b"])]
+    for _ in range(3):
+        ledgers.append(([(k, rng.choice("abcdef"), rng.choice("abcdef")) for k in range(8)], rng.sample("abcdef", 3)))
+    for moves, files in ledgers:
+        table = spark.createDataFrame([("s", k, a, b) for k, a, b in moves], "session_id string, seq bigint, src string, dst string")
+        current = spark.createDataFrame([(f,) for f in files], "path string")
+        undone = G.undo(table, current, "s")
+        want, after = undone_file_by_file(moves, files)
+        assert {r.seq: r.error for r in undone.collect()} == want
+        assert sorted(r.path for r in G.undone_catalog(current, undone).collect()) == sorted(after)

@@ -41,12 +41,13 @@ def clumps(seed, n=160, dims=4):
     return rng.permutation(n * 3)[:n].astype(np.int64), rows.astype(np.float32)
 
 
-@pytest.mark.parametrize("eps, min_points, small", [(0.02, 2, 1 << 20), (0.01, 4, 0), (0.1, 5, 0)])
-def test_dbscan_in_many_blocks(spark, eps, min_points, small):
-    """Small blocks force many cells, visitors and block pairs; small=0 the distributed components."""
+@pytest.mark.parametrize("eps, min_points", [(0.02, 2), (0.01, 4), (0.1, 5)])
+def test_dbscan_in_many_blocks(spark, eps, min_points):
+    """Small blocks force many cells, visitors and block pairs."""
     ids, rows = clumps(int(eps * 1000))
     df = frame(spark, zip(ids.tolist(), rows.tolist()))
-    got = {r.id: r.cluster for r in neighbours.dbscan(df, eps, min_points, block_rows=16, small_links=small).collect()}
+    assert neighbours.dbscan(df.selectExpr("id", "CAST(NULL AS array<float>) AS vec").limit(1)).first().cluster == "misc"
+    got = {r.id: r.cluster for r in neighbours.dbscan(df, eps, min_points, block_rows=16).collect()}
     assert got == brute_dbscan(ids, rows.astype(np.float64), eps, min_points)
     assert len(set(got.values())) > 2
 
@@ -54,9 +55,8 @@ def test_dbscan_in_many_blocks(spark, eps, min_points, small):
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(100, 140)] + [(300, 301), (301, 302), (302, 300)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
-    for roots in (neighbours.components(df), neighbours.small_components(df)):
-        got = {r.node: r.root for r in roots.collect()}
-        assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in [*range(100, 140), 200]}, 300: 300, 301: 300, 302: 300}
+    got = {r.node: r.root for r in neighbours.components(df).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in [*range(100, 140), 200]}, 300: 300, 301: 300, 302: 300}
 
 
 def test_spanning_links_join_the_same_parts():
@@ -81,15 +81,12 @@ def brute_topk(ids, rows, k):
             for r, j in enumerate(sorted(range(len(ids)), key=lambda j: (-scores[q, j], ids[j]))[:k])}
 
 
-@pytest.mark.parametrize("base_rows, query_rows", [(1000, 1000), (50, 1000), (50, 50)])
-def test_topk_strategies_agree(spark, monkeypatch, base_rows, query_rows):
-    """Base copied, queries copied, and both cut into blocks."""
+@pytest.mark.parametrize("block_rows", [1000, 50, 7])
+def test_topk_does_not_depend_on_the_blocks(spark, monkeypatch, block_rows):
     ids, rows = clumps(3)
     df = frame(spark, zip(ids.tolist(), rows.tolist())).repartition(3)
-    limits = iter([len(ids) <= base_rows, len(ids) <= query_rows])
-    monkeypatch.setattr(vectors, "is_small", lambda frame, n: next(limits))
     monkeypatch.setattr(vectors, "CELLS_AT_ONCE", 500)
-    found = vectors.topk_ip(df.select(F.col("id").alias("query_id"), "vec"), df, 4, small_rows=50)
+    found = vectors.topk_ip(df.select(F.col("id").alias("query_id"), "vec"), df, 4, block_rows=block_rows)
     got = {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()}
     want = brute_topk(ids, rows.astype(np.float64), 4)
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
