@@ -39,10 +39,12 @@ FROM (SELECT doc_id, concat('{{"topic": "  ', source, ' ', lang, '", "summary":
       '", "", null, " k "], "confidence": ', CAST(doc_id % 131 AS STRING), 'e-2, "file_date": null}}') AS body
       FROM {documents}) t"""
 
+# files f have every text as a page, files g the same pages without a text layer
 _PDF_PAGES = """SELECT concat('/corpus/f', CAST(CAST(floor(doc_id / 25) AS BIGINT) AS STRING), '.pdf') AS path,
-  doc_id % 25 AS page_no,
-  CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS text,
-  CASE WHEN doc_id % 8 = 0 THEN NULL ELSE concat('ocr ', lang) END AS ocr_text
+  doc_id % 25 AS page_no, text, concat('ocr ', lang) AS ocr_text
+FROM {documents}
+UNION ALL SELECT concat('/corpus/g', CAST(CAST(floor(doc_id / 25) AS BIGINT) AS STRING), '.pdf') AS path,
+  doc_id % 25 AS page_no, '' AS text, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE concat('ocr ', lang) END AS ocr_text
 FROM {documents}"""
 
 _SEGMENTS = """SELECT concat('/corpus/f', CAST(CAST(floor(doc_id / 25) AS BIGINT) AS STRING), '.mp3') AS path,

@@ -19,11 +19,15 @@ def _flat(df, key="doc_id"):
 _HEAD, _NAME_END, _TYPE_END, _TAIL = (s.replace("'", "''") for s in E.PROMPT.split("%s"))
 
 
-@query("metadata_prompt", f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR {D.strip_sql('text')} = '' THEN 'none' ELSE
-  concat('{_HEAD}', source, '{_NAME_END}', lang, '{_TYPE_END}', left(text, 4000), '{_TAIL}') END AS prompt FROM documents""")
+@query("metadata_prompt", f"""SELECT doc_id * 2 AS doc_id, CASE WHEN {D.strip_sql('text')} = '' THEN 'none' ELSE
+  concat('{_HEAD}', source, '{_NAME_END}', lang, '{_TYPE_END}', left(text, 4000), '{_TAIL}') END AS prompt FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, 'none' FROM documents""")
 def metadata_prompt(t):
-    docs = t.documents.select("doc_id", F.col("source").alias("name"), F.col("lang").alias("category"),
-                              F.when(F.col("doc_id") % 9 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("text"))
+    # every text, and a blank one beside it
+    both = t.documents.withColumn("t", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("text")),
+                                                         F.struct(F.lit(1).alias("k"), F.lit(" \n").alias("text")))))
+    docs = both.select((F.col("doc_id") * 2 + F.col("t.k")).alias("doc_id"), F.col("source").alias("name"),
+                       F.col("lang").alias("category"), F.col("t.text").alias("text"))
     return E.metadata_prompt(docs).select("doc_id", F.coalesce("prompt", F.lit("none")).alias("prompt"))
 
 

@@ -27,29 +27,38 @@ def route_category(t):
     return R.route(D.live(t)).select("seq", "extension", "category", "route")
 
 
-@query("fallback_text", TEXTS + """SELECT seq, left(CASE WHEN seq % 5 = 0 THEN '' ELSE text END, 4000) AS text,
-  CASE WHEN seq % 5 = 0 OR text = '' THEN concat('No pipeline for category ''', category, '''') ELSE 'none' END AS error FROM texts""")
+def _and_without(df, text, key="seq"):
+    """All rows, and all of them once more (key + AGAIN) with ``text`` in place of theirs."""
+    return df.unionByName(df.withColumns({key: F.col(key) + AGAIN, "text": text}))
+
+
+AGAIN = 1000000000
+TWICE = TEXTS + f", twice AS (SELECT seq, name, category, text FROM texts UNION ALL SELECT seq + {AGAIN}, name, category, '' FROM texts) "
+
+
+@query("fallback_text", TWICE + """SELECT seq, left(text, 4000) AS text,
+  CASE WHEN text = '' THEN concat('No pipeline for category ''', category, '''') ELSE 'none' END AS error FROM twice""")
 def fallback_text(t):
-    some = _texts(t).withColumn("text", F.when(F.col("seq") % 5 == 0, F.lit("")).otherwise(F.col("text")))
-    return R.fallback_text(some).select("seq", "text", F.coalesce("error", F.lit("none")).alias("error"))
+    return R.fallback_text(_and_without(_texts(t), F.lit(""))).select("seq", "text", F.coalesce("error", F.lit("none")).alias("error"))
 
 
-OUTCOME_TEXT = "CASE doc_id % 4 WHEN 0 THEN concat(chr(32), chr(10), text, chr(9)) WHEN 1 THEN concat(chr(32), chr(9)) WHEN 2 THEN '' ELSE text END"
+# every text as it stands, within white space and with an error; and no text, and white space only
+OUTCOME_TEXT = "CASE k WHEN 1 THEN concat(chr(32), chr(10), text, chr(9)) WHEN 2 THEN concat(chr(32), chr(9)) WHEN 3 THEN '' ELSE text END"
 
 
-@query("extract_outcome", f"""SELECT doc_id, {D.strip_sql(OUTCOME_TEXT)} AS text,
-  doc_id % 7 <> 0 AND {OUTCOME_TEXT} <> '' AS success FROM documents""")
+@query("extract_outcome", f"""SELECT doc_id * 5 + k AS doc_id, {D.strip_sql(OUTCOME_TEXT)} AS text,
+  k <> 4 AND {OUTCOME_TEXT} <> '' AS success FROM documents, range(5) AS r(k)""")
 def extract_outcome(t):
-    raw = t.documents.select("doc_id", F.expr(OUTCOME_TEXT).alias("text"),
-                             F.when(F.col("doc_id") % 7 == 0, F.lit("broken")).alias("error"))
+    cases = t.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    raw = cases.select((F.col("doc_id") * 5 + F.col("k")).alias("doc_id"), F.expr(OUTCOME_TEXT).alias("text"),
+                       F.when(F.col("k") == 4, F.lit("broken")).alias("error"))
     return R.outcome(raw).select("doc_id", "text", "success")
 
 
-@query("text_or_default", TEXTS + """SELECT seq, CASE WHEN seq % 3 = 0 OR text = ''
-  THEN concat('File: ', name, ' (type: ', category, ')') ELSE text END AS text FROM texts""")
+@query("text_or_default", TWICE + """SELECT seq, CASE WHEN text = ''
+  THEN concat('File: ', name, ' (type: ', category, ')') ELSE text END AS text FROM twice""")
 def text_or_default(t):
-    some = _texts(t).withColumn("text", F.when(F.col("seq") % 3 != 0, F.col("text")))
-    return R.text_or_default(some).select("seq", "text")
+    return R.text_or_default(_and_without(_texts(t), F.lit(None).cast("string"))).select("seq", "text")
 
 
 @query("document_text", TEXTS + """SELECT path, CASE WHEN text = '' THEN '' ELSE
@@ -204,10 +213,11 @@ def frame_text(t):
         "frames_analyzed")
 
 
-IMAGE_SQL = """SELECT concat('/corpus/p', CAST(doc_id AS VARCHAR), '.jpg') AS path,
-    CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS description,
+# pictures p are described by every text, pictures q have no description
+IMAGE_SQL = """SELECT concat('/corpus/', kind, CAST(doc_id AS VARCHAR), '.jpg') AS path,
+    CASE WHEN kind = 'p' THEN text ELSE '' END AS description,
     CASE WHEN doc_id % 5 <> 1 THEN n_chars END AS width, n_chars * 2 AS height,
-    CASE WHEN doc_id % 5 <> 1 THEN 'RGB' END AS mode, lang, source, doc_id FROM documents"""
+    CASE WHEN doc_id % 5 <> 1 THEN 'RGB' END AS mode, lang, source, doc_id FROM documents, (VALUES ('p'), ('q')) AS kinds(kind)"""
 
 
 @query("image_text", f"""WITH im AS ({IMAGE_SQL}),
@@ -219,9 +229,10 @@ IMAGE_SQL = """SELECT concat('/corpus/p', CAST(doc_id AS VARCHAR), '.jpg') AS pa
   SELECT path, CASE WHEN d IS NULL THEN '' ELSE concat('[Image File: ', name, ']', chr(10), d) END AS text,
     CASE WHEN d IS NULL THEN 'Vision model returned no output' ELSE 'none' END AS error FROM final""")
 def image_text(t):
-    base = t.documents.withColumn("path", F.concat(F.lit("/corpus/p"), F.col("doc_id").cast("string"), F.lit(".jpg")))
+    base = t.documents.withColumn("kind", F.explode(F.array(F.lit("p"), F.lit("q")))).withColumn(
+        "path", F.concat(F.lit("/corpus/"), F.col("kind"), F.col("doc_id").cast("string"), F.lit(".jpg")))
     there = F.col("doc_id") % 5 != 1
-    images = base.select("path", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.lit("")).alias("description"),
+    images = base.select("path", F.when(F.col("kind") == "p", F.col("text")).otherwise(F.lit("")).alias("description"),
                          F.when(there, F.col("n_chars")).alias("width"), (F.col("n_chars") * 2).alias("height"),
                          F.when(there, F.lit("RGB")).alias("mode"))
     tagged = F.array(F.struct(F.lit(9).alias("tag_no"), F.lit("Make").alias("tag"), F.col("lang").alias("value")),
