@@ -85,14 +85,42 @@ def dbscan_labels(t):
     return N.dbscan(_points_with_copies(t), DBSCAN_EPS, DBSCAN_POINTS, BLOCK_ROWS)
 
 
-@query("kmeans_labels")
+STEPS = 4  # of k-means in the registered queries, so that SQL can repeat them
+
+
+def _kmeans_sql(ks: str) -> str:
+    """The steps of k-means for every k of ``ks``: centres c<STEPS> and assignments a<STEPS> (k, id, c, d)."""
+    parts = [f"""pts AS (SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) q),
+  wide AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM pts),
+  seeds AS (SELECT v, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS c FROM pts), ks AS ({ks}),
+  c0 AS (SELECT k, c, v FROM ks JOIN seeds ON c < k)"""]
+    for i in range(STEPS + 1):
+        parts.append(f"""a{i} AS (SELECT k, id, c, d FROM (SELECT k, p.id, c, list_distance(p.v, c{i}.v) AS d FROM pts p, c{i}) q
+    QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY d, c) = 1)""")
+        if i < STEPS:
+            parts.append(f"""c{i + 1} AS (SELECT o.k, o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN
+    (SELECT k, c, list(x ORDER BY pos) AS v FROM (SELECT k, c, pos, avg(x) AS x FROM a{i} JOIN wide USING (id) GROUP BY k, c, pos) q
+     GROUP BY k, c) m USING (k, c))""")
+    return "WITH " + ",\n".join(parts)
+
+
+ALL_KS = "SELECT unnest(range(2, least(12, n // 2 + 1, n) + 1)) AS k FROM (SELECT count(*) AS n FROM pts) q"
+_NUMBERED = f"""SELECT id, concat('cluster_', CAST(i AS VARCHAR)) AS cluster FROM a{STEPS} JOIN picked USING (k) JOIN
+    (SELECT k, c, row_number() OVER (PARTITION BY k ORDER BY min(id)) - 1 AS i FROM a{STEPS} GROUP BY k, c) q USING (k, c)"""
+_CURVE = f"SELECT CAST(k AS INTEGER) AS k, sum(d * d) AS inertia FROM a{STEPS} GROUP BY k"
+
+
+@query("kmeans_labels", _kmeans_sql("SELECT greatest(2, least(8, n // 3)) AS k FROM (SELECT count(*) AS n FROM pts) q")
+       + ", picked AS (SELECT k FROM ks) " + _NUMBERED)
 def kmeans_labels(t):
-    return CL.kmeans_labels(_vectors(t).select("id", "vec"), auto=False)
+    return CL.kmeans_labels(_vectors(t).select("id", "vec"), auto=False, iterations=STEPS)
 
 
-@query("elbow_curve")
+@query("elbow_curve", _kmeans_sql(ALL_KS) + f" SELECT k, round(inertia, 6) AS inertia FROM ({_CURVE}) q")
 def elbow_curve(t):
-    return CL.elbow_curve(_vectors(t).select("id", "vec"))
+    curve = CL.elbow_curve(_vectors(t).select("id", "vec"), iterations=STEPS)
+    return curve.select("k", F.round("inertia", 6).alias("inertia"))
 
 
 # curves of eleven points, k = 2..12, over all customers
@@ -116,6 +144,8 @@ def embed_text(t):
     return embedded.select("doc_id", F.size("vec").alias("dims"), F.round(F.sqrt(length), 6).alias("length"))
 
 
-@query("cluster")
+@query("cluster", _kmeans_sql(ALL_KS) + f""", curve AS ({_CURVE}),
+  picked AS (SELECT k FROM (SELECT k, lead(inertia) OVER w - 2 * inertia + lag(inertia) OVER w AS bend FROM curve WINDOW w AS (ORDER BY k)) q
+    WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1) """ + _NUMBERED)
 def cluster(t):
-    return CL.cluster(_vectors(t).select("id", "vec"), "kmeans")
+    return CL.cluster(_vectors(t).select("id", "vec"), "kmeans", iterations=STEPS)
