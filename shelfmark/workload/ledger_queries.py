@@ -16,7 +16,8 @@ _PARENT = "regexp_replace({}, '/[^/]*$', '')"
 
 
 def _resolved(t):
-    return resolve_conflicts(D.date_plan(t), D.existing(t)).withColumn(
+    # written once, as the ledger reads it more than once
+    return cut_lineage(resolve_conflicts(D.date_plan(t), D.existing(t))).withColumn(
         "session_id", F.concat(F.replace("topic", F.lit("-"), F.lit("")), F.lit("01_000000")))
 
 
