@@ -69,6 +69,8 @@ FALLBACK_CHARS = 4000
 PROMPT_CHARS = 4000
 DOCUMENT_CHARS = 8000
 HTML_CHARS = 6000
+XML_CHARS = 6000
+JSON_CHARS = 8000
 SHEET_CHARS = 6000
 PDF_CHARS = 12000
 CSV_ROWS = 100
@@ -100,6 +102,8 @@ IMAGE_TAGS = [
 
 # Subtrees removed from HTML before its text is taken.
 HTML_DROPPED_TAGS = ["script", "style", "nav", "footer", "header"]
+# Elements of HTML without content or end tag.
+HTML_VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 
 # Messages.
 EMPTY_REASON = "not readable / empty"

@@ -48,15 +48,45 @@ def unescape(col) -> Column:
     return let(as_col(col), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
+# scripts and styles whole (what looks like a tag inside is none), comments, tags, declarations
+_MARKUP = (r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|</?[A-Za-z][^>]*>|<[!?][^>]*>")
+
+
+def open_names(stack: Column, name: Column, leaf: Column) -> Column:
+    """Open elements, written /a/b/, after a tag; ``name`` starts with / for an end tag.
+
+    An end tag closes everything up to the last element of its name, or nothing where none is open.
+    ``leaf``: the tag opens and closes at once.
+    """
+    ended = F.concat(name, F.lit("/"))
+    behind = F.length(F.call_function("substring_index", stack, ended, F.lit(-1)))
+    closed = F.when(F.contains(stack, ended), F.left(stack, F.length(stack) - behind - F.length(ended) + 1)).otherwise(stack)
+    return F.when((name == "") | leaf, stack).when(F.startswith(name, F.lit("/")), closed).otherwise(
+        F.concat(stack, name, F.lit("/")))
+
+
 def html_text(col, max_chars: int | None = K.HTML_CHARS) -> Column:
-    """Text nodes, stripped, one per line; scripts, styles and page furniture left out."""
-    text = F.replace(as_col(col), F.lit(_BREAK), F.lit(" "))
-    # raw-text elements first: what looks like a tag inside a script is none
-    for tags in ("|".join(K.HTML_DROPPED_TAGS[:2]), "|".join(K.HTML_DROPPED_TAGS[2:])):
-        text = F.regexp_replace(text, rf"(?is)<({tags})\b[^>]*>.*?</\1\s*>", _BREAK)
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>", _BREAK)
-    nodes = F.split(unescape(text), _BREAK)
-    lines = F.array_join(F.filter(F.transform(nodes, py_strip), lambda n: n != ""), "\n")
+    """Text nodes, stripped, one per line; scripts, styles and page furniture left out.
+
+    Furniture goes with all that is nested in it; left unclosed, it ends with the element around it.
+    """
+    whole = F.replace(as_col(col), F.lit(_BREAK), F.lit(" "))
+    nodes = F.transform(F.split(unescape(F.regexp_replace(whole, _MARKUP, _BREAK)), _BREAK), py_strip)
+    tags = F.transform(F.regexp_extract_all(whole, F.lit(_MARKUP), F.lit(0)), lambda t: F.struct(
+        F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][^\s/>]*)", 1)).alias("name"), F.endswith(t, F.lit("/>")).alias("closed")))
+    steps = F.zip_with(nodes, tags, lambda n, t: F.struct(n.alias("node"), t["name"].alias("name"), t["closed"].alias("closed")))
+    dropped = "/(?:" + "|".join(K.HTML_DROPPED_TAGS) + ")/"
+
+    def step(a: Column, s: Column) -> Column:
+        wanted = (s["node"] != "") & ~a["stack"].rlike(dropped)
+        if max_chars:
+            wanted &= F.length(a["out"]) < max_chars
+        leaf = s["closed"] | s["name"].isin("script", "style", *K.HTML_VOID_TAGS)
+        return F.struct(
+            F.when(s["name"].isNull(), a["stack"]).otherwise(open_names(a["stack"], s["name"], leaf)).alias("stack"),
+            F.when(wanted, F.concat(a["out"], F.when(a["out"] == "", "").otherwise("\n"), s["node"])).otherwise(a["out"]).alias("out"))
+
+    lines = F.aggregate(steps, F.struct(F.lit("/").alias("stack"), F.lit("").alias("out")), step)["out"]
     return F.left(lines, F.lit(max_chars)) if max_chars else lines
 
 

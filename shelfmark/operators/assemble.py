@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions import html
+from ..functions import html, trees
 from ..functions.paths import name_of
 from ..functions.text import blank_to_null, csv_cells, py_strip
 from .grouping import join_lines
@@ -31,6 +31,14 @@ def html_strip_tags(df: DataFrame, max_chars: int = K.HTML_CHARS) -> DataFrame:
     return df.withColumn("text", html.strip_tags("html", max_chars)).drop("html")
 
 
+def xml_digest(df: DataFrame, max_chars: int = K.XML_CHARS) -> DataFrame:
+    return df.withColumn("text", trees.xml_digest("text", max_chars))
+
+
+def json_digest(df: DataFrame, max_chars: int = K.JSON_CHARS) -> DataFrame:
+    return df.withColumn("text", trees.json_digest("text", max_chars))
+
+
 def csv_rows(df: DataFrame, max_rows: int = K.CSV_ROWS) -> DataFrame:
     """(path, row_no, cells) of CSV text; one row past the cap is kept to tell that there are more."""
     lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n", max_rows + 2)

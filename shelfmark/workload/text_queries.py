@@ -120,6 +120,37 @@ def html_strip_tags(t):
     return A.html_strip_tags(t.pages.select("page_id", "html"))
 
 
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("xml_digest", f"""SELECT kind, doc_id, CASE kind WHEN 'broken' THEN concat('<doc><text>', {_ESCAPED}, '</text>') ELSE
+  left(array_to_string(list_filter([concat('  <source>: ', source), concat('    <lang>: ', lang),
+    CASE WHEN {D.strip_sql('text')} <> '' THEN concat('  <text>: ', {D.strip_sql('text')}) END], lambda l: l IS NOT NULL), chr(10)), 6000) END AS text
+  FROM documents, (VALUES ('whole'), ('broken')) AS kinds(kind)""")
+def xml_digest(t):
+    """Every document as XML, and once more without its last end tag."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    whole = F.concat(F.lit('<?xml version="1.0"?>\n<doc id="a>b"><!-- c --><source>'), "source", F.lit("</source>\n<meta><lang>"),
+                     "lang", F.lit("</lang>tail</meta><empty/><text>"), escaped, F.lit("</text></doc>\n"))
+    kinds = F.array(F.struct(F.lit("whole").alias("kind"), whole.alias("text")),
+                    F.struct(F.lit("broken").alias("kind"), F.concat(F.lit("<doc><text>"), escaped, F.lit("</text>")).alias("text")))
+    return A.xml_digest(t.documents.select("doc_id", F.explode(kinds).alias("k")).select("k.kind", "doc_id", "k.text"))
+
+
+@query("json_digest", """SELECT kind, doc_id, CASE kind WHEN 'broken' THEN concat('{"text": ', CAST(to_json(text) AS VARCHAR)) ELSE
+  left(concat('{', chr(10), '  "id": ', doc_id, ',', chr(10), '  "meta": {', chr(10), '    "lang": "', lang, '",', chr(10), '    "none": []', chr(10),
+    '  },', chr(10), '  "text": ', CAST(to_json(text) AS VARCHAR), ',', chr(10), '  "rest": [', chr(10), '    1.5,', chr(10), '    {}', chr(10), '  ]', chr(10), '}'), 8000) END AS text
+  FROM documents, (VALUES ('whole'), ('broken')) AS kinds(kind)""")
+def json_digest(t):
+    """Every document as JSON, and once more without its end."""
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    whole = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(', "meta":{"lang":"'), "lang", F.lit('","none":[ ]},\n"text" : '),
+                     quoted, F.lit(',"rest":[1.5,{ }]}'))
+    kinds = F.array(F.struct(F.lit("whole").alias("kind"), whole.alias("text")),
+                    F.struct(F.lit("broken").alias("kind"), F.concat(F.lit('{"text": '), quoted).alias("text")))
+    return A.json_digest(t.documents.select("doc_id", F.explode(kinds).alias("k")).select("k.kind", "doc_id", "k.text"))
+
+
 @query("paragraph_join", """SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)),
   lambda p: p <> ''), chr(10)) AS text FROM documents""")
 def paragraph_join(t):
@@ -250,7 +281,9 @@ def assembled(t):
     def of(*routes):
         return texts.filter(F.col("route").isin(*routes))
 
-    plain = A.document_text(of("plain", "json").select("path", "text"))
+    plain = A.document_text(of("plain").select("path", "text"))
+    trees = A.document_text(A.json_digest(of("json").select("path", "text")).unionByName(
+        A.xml_digest(of("xml").select("path", "text"))))
     csv = A.document_text(A.csv_digest(A.csv_rows(of("csv").select("path", "text"))))
     html = A.document_text(A.html_text(of("html").select("path", F.col("text").alias("html"))))
     paragraphs = of("paragraphs").select("path", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
@@ -264,7 +297,7 @@ def assembled(t):
     image = A.image_text(of("image").select("path", F.col("text").alias("description"), F.lit(None).cast("int").alias("width"),
                                             F.lit(None).cast("int").alias("height"), F.lit(None).cast("string").alias("mode")))
     unknown = R.fallback_text(of("fallback").select("path", "category", "text"))
-    frames = [plain, csv, html, docx, pdf, audio, video, image, unknown]
+    frames = [plain, trees, csv, html, docx, pdf, audio, video, image, unknown]
     return R.extract_all(D.live(t), frames)
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import html, paths, replies, text
+from shelfmark.functions import html, paths, replies, text, trees
 from shelfmark.operators import grouping
 
 
@@ -124,3 +124,24 @@ def test_cells_keep_what_follows_a_quote_and_references_with_zeros(spark):
 def test_groups_with_a_null_key_stay(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, o bigint")
     assert sorted(r["rank"] for r in grouping.rank_in_group(df, ["g"], "o").collect()) == [0, 0, 1]
+
+
+def test_furniture_of_html_goes_with_what_is_nested_in_it(spark):
+    pages = ["<header>a<header>b</header>c</header>d", "<div><nav>x</div>y", "<nav>x<p>y", "a<nav/>b", "<nav><br>x</nav>y</nav>z",
+             "<script>if (a<b) x</p>", "<p>a<!-- x", "a<i>b</u>c</i>", "", None]
+    assert values(spark, pages, html.html_text) == ["d", "y", "", "a\nb", "y\nz", "", "a", "a\nb\nc", "", None]
+
+
+def test_xml_digest(spark):
+    items = ["<a>x<b c='1>2'> y </b>z<d/><e><f>&lt;&#65;</f></e></a>", "<a><!-- c -->x<![CDATA[<y>&]]></a>", "<a><b>x</a></b>",
+             "<a>x</a><b/>", "x", "<a>1 & 2</a>", "<a>x</a>y", "<a/>", "", None]
+    assert values(spark, items, trees.xml_digest) == ["<a>: x\n  <b>: y\n    <f>: <A", "<a>: x<y>&", *items[2:7], "", "", ""]
+    assert values(spark, ["<a>" + "x" * 9000 + "</a>"], trees.xml_digest) == ["<a>: " + "x" * 5995]
+
+
+def test_json_digest_equals_the_standard_layout(spark):
+    items = ['{"a":[1,{"b":"x, {\\"y\\"}: \\\\"}],"c":{},"d":[ ],"e":null}', '[]', '"x"', "[[1,2],[[]]]", "12"]
+    assert values(spark, items, trees.json_digest) == [json.dumps(json.loads(i), indent=2, ensure_ascii=False) for i in items]
+    assert values(spark, ['{"a":', "plain", "", None], trees.json_digest) == ['{"a":', "plain", "", ""]
+    long = json.dumps([['\n"' * 5000]] * 3)
+    assert values(spark, [long], trees.json_digest) == [json.dumps(json.loads(long), indent=2)[:8000]]
