@@ -63,16 +63,17 @@ def drop_ignored(df: DataFrame) -> DataFrame:
     return df.filter(~is_ignored())
 
 
-def skip_reason(max_mb: float = K.MAX_FILE_MB) -> Column:
+def skip_reason(max_mb: float = K.MAX_FILE_MB, has_error: bool = False) -> Column:
     too_large = F.concat(F.lit("too large ("), short_float("size_mb"),
                          F.lit(f" MB > {float(max_mb)} MB)"))
-    return (F.when(F.coalesce(F.col("size_bytes"), F.lit(0)) <= 0, F.lit(K.EMPTY_REASON))
-            .when(F.col("size_mb") > max_mb, too_large))
+    reason = (F.when(F.coalesce(F.col("size_bytes"), F.lit(0)) <= 0, F.lit(K.EMPTY_REASON))
+              .when(F.col("size_mb") > max_mb, too_large))
+    return F.coalesce(F.col("error"), reason) if has_error else reason
 
 
 def skip_audit(df: DataFrame, max_mb: float = K.MAX_FILE_MB) -> DataFrame:
-    """Add ``reason``: why a file is skipped, null when it is kept."""
-    return df.withColumn("reason", skip_reason(max_mb))
+    """Add ``reason``: why a file is skipped, null when it is kept; a column ``error`` goes first."""
+    return df.withColumn("reason", skip_reason(max_mb, "error" in df.columns))
 
 
 def readable(df: DataFrame) -> DataFrame:

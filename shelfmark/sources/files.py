@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import universal_newlines
 from ..operators.catalog import catalog
+from ..runtime import cut_lineage
 
 LOCAL_SCHEME = r"^file:(?://)?(?=/)"
 
@@ -13,9 +19,9 @@ LOCAL_SCHEME = r"^file:(?://)?(?=/)"
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, length, modified) below ``root``. The content column is never read.
 
-    The listing of this source leaves out empty files and names that start with "." or "_";
-    pass an inventory table to ``catalog`` where those matter, or where the listing is too large
-    to be made from a driver.
+    The listing of this source leaves out empty files and names that start with "." or "_" and is
+    made by the driver. ``walk_files`` lists a mounted folder whole and in tasks; elsewhere pass an
+    inventory table to ``catalog`` where those matter.
     """
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
               .load(root))
@@ -28,6 +34,77 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return catalog(list_files(spark, root, recursive))
 
 
+_ENTRY = "path string, is_folder boolean, length bigint, modified timestamp_ntz, created timestamp_ntz, error string"
+_BATCH_ENTRIES = 1 << 14
+
+
+def _entries(folder: str) -> Iterator[tuple]:
+    """What a folder holds; links to folders are not followed."""
+    def time(seconds: float) -> datetime:
+        return datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
+
+    try:
+        with os.scandir(folder) as listing:
+            for entry in listing:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield entry.path, True, None, None, None, None
+                    elif entry.is_file():
+                        at = entry.stat()
+                        yield entry.path, False, at.st_size, time(at.st_mtime), time(at.st_ctime), None
+                except OSError as error:
+                    yield entry.path, False, None, None, None, f"os error: {error}"
+    except OSError as error:
+        yield folder, False, None, None, None, f"os error: {error}"
+
+
+def walk_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, length, modified, created, error) below a folder that every worker has mounted.
+
+    Folders are listed level by level, each by one task that hands on bounded batches, so nothing
+    is listed by the driver. Empty files and hidden names are there; what cannot be read has an error.
+    """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us"), pa.timestamp("us"), pa.string()]
+        names = [f.split()[0] for f in _ENTRY.split(", ")]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                for row in _entries(folder):
+                    rows.append(row)
+                    if len(rows) == _BATCH_ENTRIES:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
+
+    start = root.removeprefix("file://").removeprefix("file:")
+    start = start.rstrip("/") or "/"
+    level, found = spark.createDataFrame([(start,)], "folder string"), None
+    while True:
+        entries = cut_lineage(level.mapInArrow(listed, _ENTRY))
+        if found is None:
+            unread = entries.filter((F.col("path") == start) & F.col("error").isNotNull()).first()
+            if unread is not None:
+                raise NotADirectoryError(unread.error)
+        files = entries.filter("not is_folder").drop("is_folder")
+        found = files if found is None else found.unionByName(files)
+        level = entries.filter("is_folder").select(F.col("path").alias("folder"))
+        if not recursive or level.isEmpty():
+            return found
+        # the folders of a level are spread, however few files name them
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
+def scan_mounted(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """File records with ``error`` of a mounted folder; a root that is missing or no folder fails."""
+    return catalog(walk_files(spark, root, recursive))
+
+
 def read_text_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, text): UTF-8 with invalid bytes replaced and line ends unified."""
     read = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root))

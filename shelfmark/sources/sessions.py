@@ -1,12 +1,17 @@
-"""The ledger on storage: parquet partitioned by session, and JSON session files."""
+"""The ledger on storage: sessions, moves and folders as parquet or JSON lines, and JSON session files."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 MOVES = "session_id string, seq bigint, src string, dst string, ts double"
 
+SESSIONS = "session_id string, root string, created_at string"
+FOLDERS = "session_id string, first_seq bigint, folder string"
+
 SESSION_FILE = ("session_id string, root_folder string, created_at string, "
                 "records array<struct<src:string,dst:string,timestamp:double>>, folders_created array<string>")
 
@@ -37,6 +42,51 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MOVES)
 
 
+@dataclass
+class Ledger:
+    """Everything an undo needs: ``SESSIONS``, ``MOVES`` and ``FOLDERS``, one row per session, move and made folder."""
+    sessions: DataFrame
+    moves: DataFrame
+    folders: DataFrame
+
+    def of(self, keep: DataFrame, anti: bool = False) -> Ledger:
+        """The part of the sessions in ``keep`` (session_id), or the part of all others."""
+        ids = keep.select("session_id").distinct()
+        return Ledger(*[part.join(ids, "session_id", "left_anti" if anti else "left_semi")
+                        for part in (self.sessions, self.moves, self.folders)])
+
+
+_PARTS = {"sessions": SESSIONS, "moves": MOVES, "folders": FOLDERS}
+
+
+def write_ledger(ledger: Ledger, out: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Three tables below ``out``; moves and folders lie in one folder per session, a row a line (``fmt`` "json").
+
+    Sessions go last: a session counts once all of it is written.
+    """
+    for name in ("moves", "folders"):
+        (getattr(ledger, name).select(*[f.split()[0] for f in _PARTS[name].split(", ")]).hint("rebalance", "session_id")
+         .write.mode(mode).partitionBy("session_id").format(fmt).save(f"{out}/{name}"))
+    ledger.sessions.select("session_id", "root", "created_at").write.mode(mode).format(fmt).save(f"{out}/sessions")
+
+
+def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> Ledger:
+    """What ``write_ledger`` wrote; a filter on session_id reads only that session's files."""
+    parts = {name: spark.read.schema(schema).format(fmt).load(f"{path}/{name}")
+             .select(*[f.split()[0] for f in schema.split(", ")]) for name, schema in _PARTS.items()}
+    return Ledger(**parts)
+
+
+def after_undo(ledger: Ledger, report: DataFrame) -> Ledger:
+    """The ledger after an undo: a session that was undone without errors is gone (``report``: ``undo_report``)."""
+    return ledger.of(report.filter("success"), anti=True)
+
+
+def pruned(ledger: Ledger, keep: int) -> Ledger:
+    """The newest sessions with all that belongs to them."""
+    return ledger.of(ledger.sessions.orderBy(F.desc("session_id")).limit(keep))
+
+
 def read_session_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, moves, folders) from JSON files, one session each; unreadable files are ignored."""
     raw = (spark.read.schema(SESSION_FILE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
@@ -47,10 +97,3 @@ def read_session_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
                      F.coalesce("m.timestamp", F.lit(0.0)).alias("ts")))
     folders = (raw.select("session_id", F.posexplode("folders_created").alias("seq", "folder")))
     return sessions, moves, folders
-
-
-def write_pruned(moves: DataFrame, out: str, keep: int) -> None:
-    """A new ledger folder with the newest sessions only."""
-    from ..operators.ledger import prune_sessions
-
-    prune_sessions(moves, keep).hint("rebalance", "session_id").write.partitionBy("session_id").parquet(out)

@@ -12,10 +12,19 @@ WITH = "WITH " + D.CATALOG_SQL + " "
 STAMP = "%Y-%m-%dT%H:%M:%S"
 
 
-@query("scan_files")
+@query("scan_files", """SELECT source, count(*) AS texts, sum(octet_length(encode(text)) + 1) AS bytes, 0 AS audited
+  FROM documents GROUP BY source""")
 def scan_files(t):
-    return S.scan_files(t.spark, t.folder).select(
-        "name", "stem", "extension", "category", "size_bytes", "size_mb")
+    """Documents as text files, one folder per source; the folder is walked, audited and its files read back."""
+    out = scratch_path(t.spark, "scan")
+    docs = t.documents.select("source", F.replace("text", F.lit("\n"), F.lit("\u0001")).alias("value"))
+    docs.hint("rebalance", "source").write.partitionBy("source").text(out)
+    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    files = C.skip_audit(S.scan_mounted(t.spark, out)).filter("extension = '.txt'")
+    sizes = files.groupBy(source.alias("source")).agg(F.sum("size_bytes").alias("bytes"),
+                                                      F.count_if(F.col("reason").isNotNull()).alias("audited"))
+    lines = t.spark.read.text(out).groupBy("source").agg(F.count("*").alias("texts"))
+    return sizes.join(lines, "source").select("source", "texts", "bytes", "audited")
 
 
 @query("catalog_from_inventory", WITH + f"""SELECT seq, path, name, stem, extension, category, size_bytes, size_mb,

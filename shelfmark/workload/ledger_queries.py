@@ -121,15 +121,62 @@ def write_session(t):
     return S.read_sessions(t.spark, out).groupBy("session_id").agg(F.count("*").alias("moves"), F.max("seq").alias("last"))
 
 
+def _ledger(t):
+    """The sessions of the plan with their root, time of creation and folders."""
+    from ..functions.paths import parent_of
+
+    moves = _moves(t)
+    sessions = moves.select("session_id").distinct().withColumns({
+        "root": F.lit(D.ROOT), "created_at": F.concat(F.left("session_id", F.lit(4)), F.lit("-01-01T00:00:00"))})
+    folders = moves.groupBy("session_id", parent_of("dst").alias("folder")).agg(F.min("seq").alias("first_seq"))
+    return S.Ledger(sessions, moves, folders)
+
+
+def _stored(t, ledger, fmt="parquet"):
+    out = scratch_path(t.spark, "ledger")
+    S.write_ledger(ledger, out, fmt)
+    return S.read_ledger(t.spark, out, fmt)
+
+
+_FOLDERS = f"""folders AS (SELECT session_id, {_PARENT.format('dst')} AS folder, min(seq) AS first_seq FROM moves GROUP BY ALL) """
+_SESSIONS = f"""SELECT session_id, '{D.ROOT}' AS root, concat(left(session_id, 4), '-01-01T00:00:00') AS created_at, count(*) AS moves,
+  (SELECT count(*) FROM folders f WHERE f.session_id = moves.session_id) AS folders FROM moves"""
+
+
+def _summary(ledger):
+    made = ledger.folders.groupBy("session_id").agg(F.count("*").alias("folders"))
+    moved = ledger.moves.groupBy("session_id").agg(F.count("*").alias("moves"))
+    return ledger.sessions.join(moved, "session_id").join(made, "session_id").select(
+        "session_id", "root", "created_at", "moves", "folders")
+
+
 @query("read_sessions", WITH + "SELECT session_id, seq, src, dst FROM moves")
 def read_sessions(t):
-    """Session files in JSON, one per session, written by Spark and read back."""
-    out = scratch_path(t.spark, "session-files")
-    moves = _moves(t).select("session_id", "seq", F.struct("src", "dst", F.col("ts").alias("timestamp")).alias("m"))
-    records = F.transform(F.sort_array(F.collect_list(F.struct("seq", "m"))), lambda r: r["m"])
-    files = moves.groupBy("session_id").agg(records.alias("records")).select(
-        "session_id", F.lit(D.ROOT).alias("root_folder"), F.lit("2024-01-01T00:00:00").alias("created_at"), "records",
-        F.array().cast("array<string>").alias("folders_created"))
-    # one object per file, as sessions are stored
-    files.repartition("session_id").write.option("maxRecordsPerFile", 1).json(out)
-    return S.read_session_files(t.spark, out)[1].select("session_id", "seq", "src", "dst")
+    """The ledger as JSON lines, written and read back: moves."""
+    return _stored(t, _ledger(t), "json").moves.select("session_id", "seq", "src", "dst")
+
+
+@query("session_records", WITH[:-1] + ", " + _FOLDERS + _SESSIONS + " GROUP BY session_id")
+def session_records(t):
+    """The ledger in parquet, written and read back: sessions and what belongs to them."""
+    return _summary(_stored(t, _ledger(t)))
+
+
+@query("session_folders", WITH[:-1] + ", " + _FOLDERS + "SELECT session_id, folder, first_seq FROM folders")
+def session_folders(t):
+    return _stored(t, _ledger(t), "json").folders.select("session_id", "folder", "first_seq")
+
+
+@query("pruned_ledger", WITH[:-1] + ", " + _FOLDERS + _SESSIONS + """
+  WHERE session_id IN (SELECT DISTINCT session_id FROM moves ORDER BY session_id DESC LIMIT 4) GROUP BY session_id""")
+def pruned_ledger(t):
+    """The newest sessions of a stored ledger, stored anew."""
+    return _summary(_stored(t, S.pruned(_stored(t, _ledger(t)), 4)))
+
+
+@query("ledger_after_undo", WITH[:-1] + ", " + _FOLDERS + _SESSIONS + f" WHERE session_id <> '{SESSION}' GROUP BY session_id")
+def ledger_after_undo(t):
+    """Undo of one session out of a stored ledger, all of its files in place; a clean undo drops the session."""
+    ledger = _stored(t, _ledger(t))
+    undone = G.undo(ledger.moves, ledger.moves.select(F.col("dst").alias("path")), SESSION)
+    return _summary(_stored(t, S.after_undo(ledger, G.undo_report(undone, SESSION))))

@@ -160,6 +160,42 @@ def test_files_on_disk(spark, tmp_path):
         S.scan_files(spark, str(tmp_path / "none"))
 
 
+def test_walk_loses_nothing(spark, tmp_path):
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    for name, body in (("a.txt", "x"), ("empty.md", ""), (".hid.txt", "12"), ("_u.txt", "123"), ("sub/b.md", "1"), ("sub/deep/c", "1")):
+        (tmp_path / name).write_text(body)
+    (tmp_path / "broken.txt").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "sub" / "loop").symlink_to(tmp_path)
+    got = C.skip_audit(S.scan_mounted(spark, str(tmp_path)))
+    assert {(r.name, r.size_bytes, r.reason) for r in got.collect()} == {
+        ("a.txt", 1, None), ("empty.md", 0, "not readable / empty"), (".hid.txt", 2, None), ("_u.txt", 3, None),
+        ("b.md", 1, None), ("c", 1, None)}
+    row = got.filter("name = 'a.txt'").first()
+    assert abs((row.modified_time - row.created_time).total_seconds()) < 5
+    assert S.walk_files(spark, str(tmp_path), recursive=False).count() == 4
+    for bad in ("none", "a.txt"):
+        with pytest.raises(NotADirectoryError):
+            S.walk_files(spark, str(tmp_path / bad))
+
+
+def test_ledger_on_disk(spark, tmp_path):
+    moves = spark.createDataFrame([("s1", 0, "/a", "/r/x/a", 1.0), ("s2", 0, "/b", "/r/y/b", 2.5), ("s2", 1, "/c", "/r/y/c", 2.5)], SE.MOVES)
+    sessions = spark.createDataFrame([("s1", "/r", "2024-01-01T00:00:00"), ("s2", "/r", None)], SE.SESSIONS)
+    folders = spark.createDataFrame([("s1", 0, "/r/x"), ("s2", 0, "/r/y")], SE.FOLDERS)
+    for fmt in ("parquet", "json"):
+        out = str(tmp_path / fmt)
+        SE.write_ledger(SE.Ledger(sessions, moves, folders), out, fmt)
+        back = SE.read_ledger(spark, out, fmt)
+        assert sorted(map(tuple, back.moves.collect())) == sorted(map(tuple, moves.collect()))
+        assert {tuple(r) for r in back.sessions.collect()} == {tuple(r) for r in sessions.collect()}
+        assert {tuple(r) for r in back.folders.collect()} == {tuple(r) for r in folders.collect()}
+        assert [r.session_id for r in SE.pruned(back, 1).moves.collect()] == ["s2", "s2"]
+        here = spark.createDataFrame([("/r/y/b",), ("/r/y/c",)], "path string")
+        for session, left in (("s2", {"s1"}), ("s1", {"s1", "s2"})):  # a session with errors stays
+            rest = SE.after_undo(back, G.undo_report(G.undo(back.moves, here, session), session))
+            assert {r.session_id for r in rest.sessions.collect()} == left
+
+
 def test_listing_does_not_read_content(spark, tmp_path):
     (tmp_path / "f.txt").write_text("x")
     plan = C.not_oversize(S.scan_files(spark, str(tmp_path)))._jdf.queryExecution().toString()
