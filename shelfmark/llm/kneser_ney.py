@@ -405,7 +405,10 @@ def score(indexed: DataFrame, model: Model) -> DataFrame:
     stored = model.table.select(F.when(F.col("kind") == "bigrams", "bigrams").otherwise("words").alias("service"),
                                 "kind", "shard", F.lit(None).cast("bigint").alias("batch"), "keys", "a", "b", "c", "d", "e")
     both = asked.withColumn("service", F.col("kind")).unionByName(stored, allowMissingColumns=True)
-    replies = both.groupBy("service", "shard").applyInArrow(lambda t: reply(t), REPLY)
+    # written, so that the shuffle files of the model and the questions are gone before texts are put together
+    replies = cut_lineage(both.groupBy("service", "shard").applyInArrow(lambda t: reply(t), REPLY))
+    del asked, stored, both
+    release(indexed.sparkSession)
 
     def total(table: pa.Table) -> pa.Table:
         texts = table.filter(pc.is_null(table["kind"])).to_pylist()[0]
