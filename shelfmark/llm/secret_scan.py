@@ -10,6 +10,10 @@
    example; one with fewer that looks random is a live credential. A ``token`` is a finding only if
    it is live, or if the same value was found as a base kind elsewhere and is not widely copied.
 
+Looking random is judged by alphabet and length: hex strings of 24 characters or more and access keys do
+unless they repeat very few characters; other values need a letter, a digit and an entropy that random
+characters of their alphabet reach at that length. So random values without any digit are not found.
+
 Spans count code points, end exclusive, and cover the whole match. Letters of the assignment's key
 words match in either case (ASCII only).
 
@@ -25,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,12 +40,15 @@ from .common import raw_texts
 KINDS = ("assign", "access", "hex", "token")
 COPIED_OWNERS = 3
 TOKEN_CHARS = 20
-TOKEN_BITS = 3.5  # least entropy of a token's characters, in bits
+TOKEN_BITS = 3.5  # most that is asked of the entropy of a value's characters, in bits
+SLACK_BITS = 0.8  # a random value has hardly ever less than its alphabet's mean at its length by this
+FEW_CHARS = 6  # distinct characters that random hex strings and access keys have
 MASK = "[secret]"
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
+_ANY_HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_CHARS)
 # cheap exact filters: a text without these holds no match of the kind
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -51,12 +59,35 @@ _TOKEN_MAP = bytes(49 if c < 128 and (chr(c).isalnum() or chr(c) in "+/_=-") els
 SPANS = "array<struct<start:bigint,end:bigint,kind:string,hash:string,random:boolean>>"
 
 
+@lru_cache(1 << 12)
+def _least_bits(length: int, alphabet: int) -> float:
+    """Least entropy of a value: below what characters drawn at random from the alphabet have in the mean."""
+    p, mean, chance = 1 / alphabet, 0.0, (1 - 1 / alphabet) ** length
+    for k in range(1, min(length, 128) + 1):  # k times the same character; a random value has no longer share
+        chance *= (length - k + 1) / k * p / (1 - p)
+        mean -= alphabet * chance * k / length * math.log2(k / length)
+    return min(TOKEN_BITS, 0.8 * math.log2(max(2, length)), mean - SLACK_BITS)
+
+
 def _random(value: bytes) -> bool:
-    """Looks drawn at random: letters and digits, and characters of high entropy."""
+    """Looks drawn at random, judged by alphabet and length.
+
+    Long hex strings and access keys pass unless they repeat very few characters. Other values have
+    letters and digits, and characters of high entropy for their length and alphabet.
+    """
+    if _ACCESS.fullmatch(value) and len(value) >= 20:
+        return len(set(value[4:])) >= FEW_CHARS
+    digit, letter = any(48 <= c <= 57 for c in value), any(c > 57 for c in value)
+    if not digit or not letter:
+        return False
+    is_hex = _ANY_HEX.fullmatch(value) is not None
+    if is_hex and len(value) >= 24:
+        return len(set(value)) >= FEW_CHARS
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return (any(48 <= c <= 57 for c in value) and any(c > 57 for c in value)
-            and bits >= min(TOKEN_BITS, 0.8 * math.log2(max(2, len(value)))))
+    one_case = value in (value.lower(), value.upper())
+    alphabet = 16 if is_hex else 64 if not value.isalnum() else 36 if one_case else 62
+    return bits >= _least_bits(min(len(value), 1 << 10), alphabet)
 
 
 def candidates(raw: bytes) -> list[tuple[int, int, str, str, bool]]:
