@@ -3,7 +3,8 @@
 Two zstandard dictionaries are built from labelled good and bad texts. A text is compressed with
 each of them and without one; the normalised size differences (bad minus good per byte, and against
 the plain size) are calibrated to a probability by a logistic fit on labelled rows that did not go
-into the dictionaries. Every text is compressed whole.
+into the dictionaries. Every text is compressed whole. Where a class has too few texts to train a
+dictionary on, its joined texts are the dictionary.
 
 The fit uses a bounded sample of labelled rows: at most ``sample_rows`` of each class, those with the
 smallest hash of their text, of texts up to ``sample_text_bytes`` long. Scores cover all rows.
@@ -47,7 +48,7 @@ class Sizes:
     """Compressed sizes of a text: with the good dictionary, with the bad one, without."""
 
     def __init__(self, model: Model):
-        kinds = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT) for d in (model.good, model.bad)]
+        kinds = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (model.good, model.bad)]
         for k in kinds:
             k.precompute_compress(level=LEVEL)
         options = {"level": LEVEL, "write_content_size": False, "write_dict_id": False}
@@ -95,7 +96,14 @@ def _dictionary(raws: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: the texts themselves are the dictionary
-        return b""
+        return b"".join(raws)[-DICTIONARY_BYTES:]
+
+
+def _halves(raws: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Texts for the dictionary and texts for the calibration; a single text is cut in two."""
+    if len(raws) == 1:
+        raws = [raws[0][:len(raws[0]) // 2] or raws[0], raws[0][len(raws[0]) // 2:]]
+    return raws[::2], raws[1::2]
 
 
 def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, float]:
@@ -128,10 +136,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_text_bytes:
         table = usable.filter(F.col("quality") == quality).select("text").orderBy(
             F.xxhash64("text"), "text").limit(sample_rows).toArrow()
         sample[quality] = raw_texts(table["text"].combine_chunks()) if len(table) else []
-    model.good, model.bad = (_dictionary(sample[q][::2]) for q in (1, 0))
-    if not model.good or not model.bad:
+    if not sample[0] or not sample[1]:
         return model
-    rest = [(r, q) for q in (0, 1) for r in sample[q][1::2]]
+    halves = {q: _halves(sample[q]) for q in (0, 1)}
+    model.good, model.bad = (_dictionary(halves[q][0]) for q in (1, 0))
+    rest = [(r, q) for q in (0, 1) for r in halves[q][1]]
     x = features(Sizes(model)([r for r, _ in rest]))
     y = np.array([q for _, q in rest], float)
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
