@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..runtime import scratch_path
-from . import decontaminate, edit_counts, kneser_ney, merkle, packing, pii, quality, secret_scan, simhash, token_files
+from ..runtime import cut_lineage, scratch_path
+from . import (alignment, centroids, concat_cut, decontaminate, edit_counts, kneser_ney, merkle, packing, pii, quality,
+               secret_scan, simhash, token_files)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUALITY_THRESHOLD = 0.3
 QUALITY_FOLDS = 5
+CENTROIDS, CENTROID_ROUNDS, DIMS = 8, 10, 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,9 +112,27 @@ def op10_large_item_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_pair_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    scored, _ = alignment.align(table(spark, folder, "documents"))
+    return scored
+
+
+def op12_rotated_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    assigned, found = centroids.cluster(table(spark, folder, "embeddings"), CENTROIDS, CENTROID_ROUNDS, DIMS, key)
+    return centroids.with_totals(cut_lineage(assigned), found).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
+    packed = concat_cut.pack(table(spark, folder, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash_vp_trees, op2_suffix_array_decontamination, op3_secret_ownership, op4_kneser_ney, op5_merkle_fingerprints,
-    op6_token_id_files, op7_compression_classifier, op8_pii_weak_supervision, op9_edit_aware_counts, op10_large_item_packing)}
+    op6_token_id_files, op7_compression_classifier, op8_pii_weak_supervision, op9_edit_aware_counts, op10_large_item_packing,
+    op11_pair_bitmaps, op12_rotated_centroids, op13_concatenate_and_cut)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -131,7 +151,31 @@ def _root_sql(text: str) -> str:
     return _LEAF.format(f"array_to_string(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {section}), chr(10) || chr(10))")
 
 
+def _centroids_sql() -> str:
+    """The rounds of op12 one after another."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+       list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+     FROM embeddings WHERE len(embedding) = {DIMS}
+       AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM v
+     WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id) LIMIT {CENTROIDS})"""]
+    for k in range(CENTROID_ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT v.r, arg_min(c.c, ({gap}, c.c)) AS c, min({gap}) AS d FROM v, c{k} c GROUP BY v.r)""")
+        if k < CENTROID_ROUNDS:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{k} o LEFT JOIN (
+       SELECT c, list(m ORDER BY i) AS q FROM (SELECT a.c, i, CAST(floor(sum(v.q[i]) / count(*)) AS BIGINT) AS m
+         FROM a{k} a JOIN v USING (r), range(1, {DIMS + 1}) t(i) GROUP BY a.c, i) s GROUP BY c) n USING (c))""")
+    last = f"a{CENTROID_ROUNDS}"
+    return ",\n".join(steps) + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN {last} a USING (r) JOIN c{CENTROID_ROUNDS} c ON c.c = a.c"""
+
+
 SQL: dict[str, str] = {
+    "op12_rotated_centroids": _centroids_sql(),
     "op2_suffix_array_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) t WHERE len(w) > 0),
