@@ -37,9 +37,10 @@ from .tokens import vocabulary_file
 DEFAULT_FILE = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
-CACHED_BYTES = 48 << 20  # a bound on memory only: words that are dropped are encoded again
-ENTRY_BYTES = 200  # what a cached word takes besides its ids
-PART_BYTES = 8 << 20
+CACHED_BYTES = 80 << 20  # a bound on memory only: words that are dropped are encoded again
+ENTRY_BYTES = 220  # what a cached word takes besides its characters
+JOINED_WORDS = 256
+PART_BYTES = 6 << 20
 BLOCK = 1024  # partitions that one prefix sum runs over
 ENCODED = "part bigint, local bigint, doc_id bigint, n_tokens bigint, ids binary"
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
@@ -53,35 +54,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token ends a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.held = 0
-        self.stops = {c: self.whole(c) for c in ".,"}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         if self.held > CACHED_BYTES:
             self.cache.clear()
             self.held = 0
         new = [w for w in words if w not in self.cache]
-        # a full stop or comma behind a letter is a token of its own
-        ended = [w for w in new if w[-1:] in self.stops and w[-2:-1].isalpha()]
-        plain = list(set(new).difference(ended).union([w[:-1] for w in ended]).difference(self.cache))
-        for at in range(0, len(plain), 4096):
-            part = plain[at:at + 4096]
+        letters = [w for w in new if w.isalpha()]
+        alone = [w for w in new if not w.isalpha()]
+        # words of letters are encoded many at a time; the tokens that end a word tell them apart again
+        groups = [letters[at:at + JOINED_WORDS] for at in range(0, len(letters), JOINED_WORDS)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, code in zip(groups, joined):
+            ids = np.array(code.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(group):  # a letter that is none after its case is changed
+                alone += group
+                continue
+            raw, ends = ids.tobytes(), [0, *ends.tolist()]
+            self.cache.update(zip(group, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+        for at in range(0, len(alone), 4096):
+            part = alone[at:at + 4096]
             codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.cache.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, codes))
-        self.cache.update([(w, self.cache[w[:-1]] + self.stops[w[-1]]) for w in ended])
-        self.held += sum([ENTRY_BYTES + 8 * len(w) for w in new])
+        self.held += sum([ENTRY_BYTES + 2 * len(w) for w in new])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a column of texts; null is empty."""
-        if column.nbytes > PART_BYTES and len(column) > 1:  # parts of bounded bytes, to bound memory
-            half = len(column) // 2
-            (ids, ends), (more, further) = self.encode(column.slice(0, half)), self.encode(column.slice(half))
-            return np.concatenate([ids, more]), np.concatenate([ends, further[1:] + ends[-1]])
-        words = pc.split_pattern(pc.replace_substring(large_text(column), "\n", " "), " ")
+        text = large_text(column)
+        # case does not matter, save in the strings of special tokens
+        text = pc.if_else(pc.match_substring(text, "<|"), text, pc.ascii_lower(text))
+        # a full stop or comma behind a letter is a token of its own, with or without a space before it
+        spread = pc.replace_substring_regex(pc.replace_substring(text, "\n", " "), r"(\pL)([.,])( |\z)", r"\1 \2\3")
+        words = pc.split_pattern(spread, " ")
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         known = coded.dictionary.to_pylist()
@@ -98,6 +108,16 @@ class WordEncoder:
         return store[source], ends[bounds - bounds[0]]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded bytes, to bound memory."""
+    if batch.nbytes > PART_BYTES and len(batch) > 1:
+        half = len(batch) // 2
+        yield from parts(batch.slice(0, half))
+        yield from parts(batch.slice(half))
+    elif len(batch):
+        yield batch
+
+
 def worker_encoder(file: str) -> WordEncoder:
     """One encoder for each Python worker and file: later tasks of the worker find its cache filled."""
     kept = sys.modules.setdefault("_shelfmark_words", types.ModuleType("_shelfmark_words"))
@@ -113,9 +133,7 @@ def encode(docs: DataFrame, file: str | None = None, end_id: int = END_ID) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, local = worker_encoder(file), 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in parts(whole)):
             ids, offsets = encoder.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))
