@@ -12,7 +12,7 @@ one of B are linked where their bytes overlap.
 3. The counts go back to the chunks, whose postings add them up per document.
 
 Segments that begin with one space or line break between visible characters are encoded independently of
-what stands before them; a worker keeps what it knows of each (ids, groups, links). That needs a
+what stands before them; a worker keeps the ids of each. That needs a
 vocabulary B without tokens across such a place, which is checked when it is loaded; otherwise whole texts are
 encoded. A text with a segment whose tokens do not spell it is judged as a whole.
 
@@ -28,8 +28,10 @@ import os
 import re
 import sys
 import types
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,10 @@ from .tokens import vocabulary_file
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 BUCKETS = 64
-CACHED_BYTES = 80 << 20  # a bound on memory only: segments that are dropped are encoded again
-ENTRY_BYTES = 500  # what a cached segment takes besides its groups and links
-TEXT_CHARS = 2 << 20  # texts encoded at a time
+CACHED_BYTES = 96 << 20  # a bound on memory only: segments that are dropped are encoded again
+ENTRY_BYTES = 200  # what a cached segment takes besides its characters and ids
+JOINED_WORDS = 256
+TEXT_CHARS = 4 << 20  # texts encoded at a time
 HELD_LINKS = 3 << 20  # links collected before they are written as a fragment
 SPACE = "▁"
 SEGMENT = re.compile(r"(?:[ \n]?\S+|\s+\S*)(?:(?![ \n]\S)\s+\S*)*")
@@ -60,13 +63,14 @@ def byte_values() -> dict[str, int]:
 
 
 @dataclass
-class Known:
-    """What a segment, or a whole text, adds to a document."""
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: np.ndarray  # coded pairs of ids, repeats included
+class Aligned:
+    """What each of several segments adds to a document."""
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[bytes]  # each ends with a semicolon
+    links: np.ndarray  # coded pairs of ids of all segments behind one another, repeats included
 
 
 class Aligner:
@@ -90,13 +94,16 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         self.cuts = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces)
         # a line break is a token of its own, so what follows it is encoded as if nothing stood before
-        self.lead = self.b.encode("\n")
+        self.lead = len(self.b.encode("\n"))
         self.a_size = np.array([len(b) for b in self.a_bytes])
         self.b_size = np.array([len(b) for b in self.b_bytes])
-        self.a_names = [str(i).encode() for i in range(len(self.a_bytes))]
-        self.b_names = [str(i).encode() for i in range(len(self.b_bytes))]
+        self.spaced = np.array([b[:1] == b" " for b in self.a_bytes])
+        # ids as they are printed inside a list, and at its end: A, then B
+        self.names = [f"{i}{end}".encode() for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))
+                      for end in (",", last) for i in range(n)]
+        self.name_size = np.array([len(n) for n in self.names])
         self.width = -(-len(self.a_bytes) // BUCKETS)  # A ids of a bucket
-        self.cache: dict[str, Known | None] = {}
+        self.cache: dict[str, bytes] = {}
         self.held = 0
 
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,81 +117,125 @@ class Aligner:
     def bucket(self, code: np.ndarray) -> np.ndarray:
         return code // (len(self.b_bytes) * self.width)
 
-    def align(self, segments: list[str]) -> list[Known | None]:
-        """What each segment adds; None where the tokens of A or B do not spell it.
+    def _a_ids(self, segments: list[str]) -> list[list[int]]:
+        """Words are encoded many at a time; the tokens that start with a space tell them apart again."""
+        out: list[list[int]] = [[]] * len(segments)
+        words = [i for i, s in enumerate(segments) if s[0] == " " and s[1:].isalpha()]
+        alone = sorted(set(range(len(segments))).difference(words))
+        groups = [words[at:at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+        joined = self.a.encode_batch_fast(["".join([segments[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, coded in zip(groups, joined):
+            ids = coded.ids
+            first = np.flatnonzero(self.spaced[np.array(ids)]).tolist()
+            if len(first) != len(group) or first[0]:  # a token of another make
+                alone += group
+                continue
+            for i, low, high in zip(group, first, [*first[1:], len(ids)]):
+                out[i] = ids[low:high]
+        for i, coded in zip(alone, self.a.encode_batch_fast([segments[i] for i in alone], add_special_tokens=False)):
+            out[i] = coded.ids
+        return out
+
+    def values(self, segments: list[str]) -> list[bytes]:
+        """Number of A ids, A ids and B ids of each segment as bytes; b'' where they do not spell it.
 
         A segment starts with a space, which B adds itself, or with anything else, encoded behind a line break.
         """
-        a_ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        coded = self.b.encode([s[1:] if s[:1] == " " else "\n" + s for s in segments], num_threads=1)
-        b_ids = [c if s[:1] == " " else c[len(self.lead):] for s, c in zip(segments, coded)]
-        good = []
-        for i, s in enumerate(segments):
-            raw = s.encode()
-            if (raw == b"".join([self.b_bytes[t] for t in b_ids[i]])
-                    and raw == b"".join([self.a_bytes[t] for t in a_ids[i]])):
-                good.append(i)
-        out: list[Known | None] = [None] * len(segments)
-        if not good:
-            return out
-        # all good segments behind one another: ends of tokens as offsets in their joined bytes
-        n_a, n_b = ([len(ids[i]) for i in good] for ids in (a_ids, b_ids))
-        a = np.array([t for i in good for t in a_ids[i]], np.int64)
-        b = np.array([t for i in good for t in b_ids[i]], np.int64)
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        first = np.searchsorted(b_end, a_end - self.a_size[a], side="right")
-        last = np.searchsorted(b_end, a_end, side="left")
-        each = last - first + 1
-        link = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        code = self.code(np.repeat(a, each), b[link])
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_at, b_at = np.searchsorted(a_end, both) + 1, np.searchsorted(b_end, both) + 1  # tokens up to each end
-        a_names, b_names = [self.a_names[t] for t in a.tolist()], [self.b_names[t] for t in b.tolist()]
-        groups, x, y = [], 0, 0
-        for p, q in zip(a_at.tolist(), b_at.tolist()):
-            groups.append(b",".join(a_names[x:p]) + b"|" + b",".join(b_names[y:q]))
-            x, y = p, q
-        token = np.cumsum(n_a)
-        group_to = np.searchsorted(a_at, token).tolist()  # a segment ends where both end
-        link_to = np.cumsum(each)[token - 1].tolist()
-        g = l = 0
-        for i, x, y, g_end, l_end in zip(good, n_a, n_b, group_to, link_to):
-            out[i] = Known(x, y, g_end + 1 - g, b";".join(groups[g:g_end + 1]), code[l:l_end].copy())
-            g, l = g_end + 1, l_end
-        return out
+        a_ids = self._a_ids(segments)
+        coded = self.b.encode([s[1:] if s[0] == " " else "\n" + s for s in segments], num_threads=1)
+        b_ids = [c if s[0] == " " else c[self.lead:] for s, c in zip(segments, coded)]
+        raw = [s.encode() for s in segments]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bad: set[int] = set()
+        counts, flat = [], []
+        for ids, table, width in ((a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            tokens = list(chain.from_iterable(ids))
+            counts.append(n)
+            flat.append(np.array(tokens, np.int64))
+            spelled = np.diff(np.concatenate([[0], np.cumsum(width[flat[-1]])])[np.concatenate([[0], np.cumsum(n)])])
+            if (spelled != sizes).any() or b"".join([table[t] for t in tokens]) != b"".join(raw):
+                bad.update(i for i, seg in enumerate(ids) if b"".join([table[t] for t in seg]) != raw[i])
+        size = 1 + counts[0] + counts[1]
+        start, out = np.cumsum(size) - size, np.empty(size.sum(), "<u4")
+        out[start] = counts[0]
+        for first, n, ids in ((start + 1, counts[0], flat[0]), (start + 1 + counts[0], counts[1], flat[1])):
+            out[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        joined, cut = out.tobytes(), [*(4 * start).tolist(), 4 * len(out)]
+        return [b"" if i in bad else joined[x:y] for i, (x, y) in enumerate(zip(cut, cut[1:]))]
 
     def learn(self, segments: set[str]) -> None:
         if self.held > CACHED_BYTES:
             self.cache.clear()
             self.held = 0
         new = list(segments.difference(self.cache))
-        for at in range(0, len(new), 8192):
-            part = new[at:at + 8192]
-            for segment, known in zip(part, self.align(part)):
-                self.cache[segment] = known
-                self.held += ENTRY_BYTES + (len(known.groups) + known.links.nbytes if known else 0)
+        for at in range(0, len(new), 1 << 14):
+            part = new[at:at + (1 << 14)]
+            values = self.values(part)
+            self.cache.update(zip(part, values))
+            self.held += sum([ENTRY_BYTES + 2 * len(s) + len(v) for s, v in zip(part, values)])
+
+    def align(self, values: list[bytes]) -> Aligned:
+        """Groups and links of segments, all at once: their tokens stand behind one another in one row of bytes."""
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        store = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
+        start = np.cumsum(size) - size
+        n_a = store[start]
+        n_b = size - n_a - 1
+        within = np.arange(len(store)) - np.repeat(start, size)
+        in_b = within > np.repeat(n_a, size)
+        a, b = store[~in_b & (within > 0)], store[in_b]
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        first = np.searchsorted(b_end, a_end - self.a_size[a], side="right")
+        last = np.searchsorted(b_end, a_end, side="left")
+        each = last - first + 1
+        link = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        links = self.code(np.repeat(a, each), b[link])
+        # offsets where both end
+        at = np.minimum(last, len(b) - 1)
+        a_ends = b_end[at] == a_end
+        b_ends = np.zeros(len(b), bool)
+        b_ends[at[a_ends]] = True
+        a_group, b_group = np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends
+        order = np.argsort(np.concatenate([a_group, b_group]), kind="stable")
+        n = len(self.a_bytes)
+        name = np.concatenate([a + n * a_ends, 2 * n + b + len(self.b_bytes) * b_ends])[order]
+        text = b"".join([self.names[i] for i in name.tolist()])
+        token = np.cumsum(n_a + n_b)  # a segment ends where both end
+        cut = np.concatenate([[0], np.cumsum(self.name_size[name])[token - 1]]).tolist()
+        a_token = np.cumsum(n_a)
+        return Aligned(n_a, n_b, np.diff(np.concatenate([[0], np.cumsum(a_ends)[a_token - 1]])),
+                       np.diff(np.concatenate([[0], np.cumsum(each)[a_token - 1]])),
+                       [text[x:y] for x, y in zip(cut, cut[1:])], links)
 
     def documents(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
         """Per text (n_a, n_b, n_groups, n_links, digest); all links, and the text of each."""
         cut = [SEGMENT.findall(" " + t) if t and self.cuts else [" " + t] if t else [] for t in texts]
-        self.learn({s for c in cut for s in c})
-        look, rows, links = self.cache.__getitem__, [], []
-        for text, segments in zip(texts, cut):
-            known = [look(s) for s in segments]
-            if None in known:
-                known = self.align([" " + text])
-            if not known or known[0] is None:
-                rows.append((0, 0, 0, 0, ""))
-                links.append(0)
-                continue
-            codes = [k.links for k in known]
-            size = sum([len(c) for c in codes])
-            rows.append((sum([k.n_a for k in known]), sum([k.n_b for k in known]), sum([k.n_groups for k in known]), size,
-                         hashlib.sha256(b";".join([k.groups for k in known])).hexdigest()))
-            links.append(np.concatenate(codes))
-        sizes = [0 if isinstance(c, int) else len(c) for c in links]
-        joined = [c for c in links if not isinstance(c, int)]
-        return rows, np.concatenate([np.zeros(0, np.int64), *joined]), np.repeat(np.arange(len(texts)), sizes)
+        self.learn(set().union(*cut))
+        bad = {s for c in cut for s in c if not self.cache[s]} if not all(self.cache.values()) else ()
+        if bad:  # texts with such a segment are judged as a whole
+            whole = {i: " " + texts[i] for i, c in enumerate(cut) if not bad.isdisjoint(c)}
+            judged = dict(zip(whole, self.values(list(whole.values()))))
+            cut = [c if i not in whole else [whole[i]] if judged[i] else [] for i, c in enumerate(cut)]
+            known = {whole[i]: v for i, v in judged.items()} | {s: self.cache[s] for i, c in enumerate(cut) if i not in whole for s in c}
+        else:
+            known = self.cache
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        code = np.array([number[s] for c in cut for s in c], np.int64)
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+        if not number:
+            return [(0, 0, 0, 0, "")] * len(texts), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = self.align([known[s] for s in number])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(v[code])])[ends]).tolist()
+                for v in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+        pick, listed = found.groups.__getitem__, code.tolist()
+        digests = [hashlib.sha256(b"".join(map(pick, listed[x:y]))[:-1]).hexdigest() if y > x else ""
+                   for x, y in zip(ends.tolist(), ends[1:].tolist())]
+        each = found.n_links[code]
+        at = np.repeat((np.cumsum(found.n_links) - found.n_links)[code] - (np.cumsum(each) - each), each)
+        links = found.links[at + np.arange(len(at))]
+        return list(zip(*sums, digests)), links, np.repeat(np.arange(len(texts)), sums[3])
 
 
 def worker_aligner(a_file: str, b_file: str) -> Aligner:
