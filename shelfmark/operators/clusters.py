@@ -2,79 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions import blocks
+from ..runtime import cut_lineage
+from . import kmeans
 from .neighbours import dbscan
 from .vectors import l2_normalize
 
 MAX_ITERATIONS = 300
-TOLERANCE = 1e-4  # a run ends when no centre moves further
-ROWS_AT_ONCE = 1024
-
-
-def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number, squared distance) of the nearest centre; ties to the smaller number."""
-    squared = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1)
-    number = squared.argmin(axis=1)
-    return number, squared[np.arange(len(rows)), number]
-
-
-def _pass(points: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, float]]:
-    """One pass over the vectors for every k: the means of the clusters, and the cost before the step.
-
-    A task folds its rows to one sum per cluster, and the sums are added up before they reach the driver,
-    which gets the numbers of the centres only. A cluster without rows keeps its centre.
-    """
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros((k, c.shape[1] + 2)) for k, c in centres.items()}  # coordinates, rows, cost
-        for batch in batches:
-            whole = blocks.matrix(batch.column("vec"))
-            for start in range(0, len(whole), ROWS_AT_ONCE):
-                rows = whole[start:start + ROWS_AT_ONCE]
-                for k, c in centres.items():
-                    number, squared = _nearest(rows, c)
-                    np.add.at(sums[k], number, np.concatenate([rows, np.ones((len(rows), 1)), squared[:, None]], axis=1))
-        for k, table in sums.items():
-            width = table.shape[1]
-            yield pa.RecordBatch.from_pydict({
-                "k": pa.array(np.full(table.size, k), pa.int32()), "c": pa.array(np.repeat(np.arange(k), width), pa.int32()),
-                "pos": pa.array(np.tile(np.arange(width), k), pa.int32()), "total": pa.array(table.ravel())})
-
-    rows = (points.select("vec").mapInArrow(fold, "k int, c int, pos int, total double")
-            .groupBy("k", "c", "pos").agg(F.sum("total").alias("total")).collect())
-    tables = {k: np.zeros((k, c.shape[1] + 2)) for k, c in centres.items()}
-    for r in rows:
-        tables[r["k"]][r["c"], r["pos"]] = r["total"]
-    means = {k: np.where(t[:, -2:-1] > 0, t[:, :-2] / np.maximum(t[:, -2:-1], 1), centres[k]) for k, t in tables.items()}
-    return means, {k: float(t[:, -1].sum()) for k, t in tables.items()}
-
-
-def _lloyd(points: DataFrame, ks: list[int], iterations: int) -> tuple[dict[int, np.ndarray], dict[int, float]]:
-    """Centres and costs for every k. The first centres are the rows with the smallest md5 of their id."""
-    if not ks:
-        return {}, {}
-    first = points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(max(ks)).select("vec").toArrow()
-    seeds = blocks.matrix(first["vec"])
-    centres, costs, moving = {k: seeds[:k] for k in ks}, {}, list(ks)
-    for _ in range(iterations):
-        means, _costs = _pass(points, {k: centres[k] for k in moving})
-        moving = [k for k in moving if np.sqrt(((means[k] - centres[k]) ** 2).sum(axis=1)).max() > TOLERANCE]
-        centres |= means
-        if not moving:
-            break
-    _, costs = _pass(points, centres)
-    return centres, costs
 
 
 def _points(df: DataFrame) -> DataFrame:
-    return l2_normalize(df.select("id", "vec")).persist(StorageLevel.MEMORY_AND_DISK)
+    """Unit vectors, written once: every pass reads the same rows."""
+    return cut_lineage(l2_normalize(df.select("id", "vec")))
 
 
 def _elbow_ks(n: int, min_k: int, max_k: int) -> list[int]:
@@ -83,13 +27,10 @@ def _elbow_ks(n: int, min_k: int, max_k: int) -> list[int]:
 
 
 def elbow_curve(df: DataFrame, min_k: int = K.ELBOW_MIN_K, max_k: int = K.ELBOW_MAX_K,
-                iterations: int = MAX_ITERATIONS) -> DataFrame:
+                iterations: int = MAX_ITERATIONS, starts: tuple[str, ...] = kmeans.STARTS) -> DataFrame:
     """(k, inertia) for each k, from one loop for all of them. ``df``: id, vec."""
     points = _points(df)
-    try:
-        _, costs = _lloyd(points, _elbow_ks(points.count(), min_k, max_k), iterations)
-    finally:
-        points.unpersist()
+    _, costs = kmeans.fit(points, _elbow_ks(points.count(), min_k, max_k), iterations, starts)
     return df.sparkSession.createDataFrame(sorted(costs.items()), "k int, inertia double")
 
 
@@ -121,30 +62,28 @@ def pick_k(costs: list[tuple[int, float]], min_k: int = K.ELBOW_MIN_K) -> int:
     return -max(bends)[1]
 
 
-def kmeans_labels(df: DataFrame, k: int | None = None, auto: bool = True,
-                  iterations: int = MAX_ITERATIONS) -> DataFrame:
+def kmeans_labels(df: DataFrame, k: int | None = None, auto: bool = True, iterations: int = MAX_ITERATIONS,
+                  starts: tuple[str, ...] = kmeans.STARTS) -> DataFrame:
     """(id, cluster) with labels ``cluster_<i>``, numbered by their smallest member.
 
-    ``df``: id, vec. k is given, or taken from the elbow, or from the number of rows.
+    ``df``: id, vec. k is given, or taken from the elbow, or from the number of rows. ``starts``: where
+    runs begin ("id": the rows with the smallest md5 of their id, "drawn": rows drawn far apart); the
+    cheapest run counts.
     """
     points = _points(df)
-    try:
-        n = points.count()
-        if k is None and auto:
-            ks = _elbow_ks(n, K.ELBOW_MIN_K, K.ELBOW_MAX_K)
-            centres, costs = _lloyd(points, ks, iterations)
-            k = min(pick_k(sorted(costs.items())), n)
-        else:
-            k, centres = min(k or max(2, min(8, n // 3)), n), {}
-        chosen = centres[k] if k in centres else _lloyd(points, [k], iterations)[0][k]
-    finally:
-        points.unpersist()
+    n = points.count()
+    if k is None and auto:
+        centres, costs = kmeans.fit(points, _elbow_ks(n, K.ELBOW_MIN_K, K.ELBOW_MAX_K), iterations, starts)
+        k = min(pick_k(sorted(costs.items())), n)
+    else:
+        k, centres = min(k or max(2, min(8, n // 3)), n), {}
+    chosen = centres[k] if k in centres else kmeans.fit(points, [k], iterations, starts)[0][k]
 
     @F.arrow_udf("int")
     def nearest(column: pa.Array) -> pa.Array:
-        return pa.array(_nearest(blocks.matrix(column), chosen)[0].astype(np.int32))
+        return pa.array(kmeans.nearest(blocks.matrix(column), chosen)[0].astype(np.int32))
 
-    labelled = l2_normalize(df.select("id", "vec")).select("id", nearest("vec").alias("_c"))
+    labelled = points.select("id", nearest("vec").alias("_c"))
     firsts = labelled.groupBy("_c").agg(F.min("id").alias("_first"))
     # one row per centre
     numbered = firsts.withColumn("_i", F.row_number().over(Window.orderBy("_first")) - 1)
@@ -154,10 +93,10 @@ def kmeans_labels(df: DataFrame, k: int | None = None, auto: bool = True,
 
 def cluster(df: DataFrame, algorithm: str = "kmeans", eps: float = K.DBSCAN_EPS,
             min_points: int = K.DBSCAN_MIN_POINTS, auto: bool = True,
-            iterations: int = MAX_ITERATIONS) -> DataFrame:
+            iterations: int = MAX_ITERATIONS, starts: tuple[str, ...] = kmeans.STARTS) -> DataFrame:
     """(id, cluster): DBSCAN when asked for, else k-means; fewer than two rows are one cluster."""
     if df.limit(2).count() < 2:
         return df.select("id", F.lit("cluster_0").alias("cluster"))
     if algorithm == "dbscan":
         return dbscan(df, eps, min_points)
-    return kmeans_labels(df, auto=auto, iterations=iterations)
+    return kmeans_labels(df, auto=auto, iterations=iterations, starts=starts)
