@@ -6,7 +6,7 @@ from ..functions.text import slugify as slug
 from ..operators import layout as L
 from ..operators.conflicts import resolve_conflicts as resolve
 from ..plans.organise import organise
-from ..runtime import scratch_path
+from ..runtime import cut_lineage, scratch_path
 from ..sources import files as S
 from . import derived as D
 from .registry import query
@@ -91,6 +91,35 @@ def resolve_conflicts(t):
         F.coalesce("error", F.lit("none")).alias("error"))
 
 
+# a run over folders that are in order already: all sources lie where the destinations are, many names are
+# counters of others, and some files are missing
+_SECOND_RUN = """SELECT doc_id AS seq, concat(folder, '/r', CAST(j % 5 AS STRING), src_no, '.txt') AS src,
+  concat(folder, '/r', CAST((j * 7 + 3) % 5 AS STRING), dst_no, '.txt') AS dst, folder, doc_id % 29 <> 0 AS present
+FROM (SELECT doc_id, j, concat('/corpus/', lang, CAST(doc_id % 8 AS STRING)) AS folder,
+        CASE WHEN j < 5 THEN '' ELSE concat('_', CAST(CAST(floor(j / 5) AS BIGINT) AS STRING)) END AS src_no,
+        CASE WHEN j % 3 = 0 THEN concat('_', CAST(j % 11 + 1 AS STRING)) ELSE '' END AS dst_no
+      FROM (SELECT doc_id, lang, CAST(floor(doc_id / 8) AS BIGINT) AS j FROM {documents}) a) b"""
+# file by file in each folder, with a list of the names that are taken at the time
+_ONE_BY_ONE = f"""WITH RECURSIVE files AS ({D._duck(_SECOND_RUN)}),
+  line AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY seq) AS n FROM files),
+  here AS (SELECT folder, list(src) FILTER (present) AS taken FROM files GROUP BY folder),
+  walk AS (SELECT folder, 0::BIGINT AS n, coalesce(taken, []) AS taken, 0::BIGINT AS seq, '' AS src, '' AS dst, '' AS final_dst FROM here
+    UNION ALL SELECT folder, n, CASE WHEN present THEN list_append(list_filter(taken, lambda x: x <> src), got) ELSE taken END,
+      seq, src, dst, CASE WHEN present THEN got ELSE 'none' END
+    FROM (SELECT l.*, w.taken, list_filter(list_transform(range(0, len(w.taken) + 1), lambda c: CASE WHEN c = 0 THEN l.dst
+            ELSE concat(left(l.dst, length(l.dst) - 4), '_', CAST(c AS VARCHAR), '.txt') END),
+            lambda x: NOT list_contains(w.taken, x))[1] AS got
+          FROM walk w JOIN line l ON l.folder = w.folder AND l.n = w.n + 1) q)
+  SELECT seq, src, dst, final_dst FROM walk WHERE n > 0"""
+
+
+@query("resolve_second_run", _ONE_BY_ONE)
+def resolve_second_run(t):
+    files = cut_lineage(t.sql(_SECOND_RUN))
+    found = resolve(files.select("seq", "src", "dst"), files.filter("present").select(F.col("src").alias("path")))
+    return found.select("seq", "src", "dst", F.coalesce("final_dst", F.lit("none")).alias("final_dst"))
+
+
 _FOLDER = "regexp_replace(dst, '/[^/]*$', '')"
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from shelfmark.operators.conflicts import resolve_conflicts
+from shelfmark.operators.conflicts import _Line, resolve_conflicts
 from shelfmark.operators.grouping import join_lines, rank_all, rank_in_group, running_total
 from shelfmark.plans.organise import execute, undo_and_report
 from pyspark.sql import functions as F
@@ -18,12 +18,13 @@ def numbered(path, n):
 def one_by_one(plan, existing):
     """Place the files one after the other against the growing set of taken names."""
     taken, out = set(existing), {}
-    for seq, _, dst in sorted(plan):
+    for seq, src, dst in sorted(plan):
         name, n = dst, 0
         while name in taken:
             n += 1
             name = numbered(dst, n)
         taken.add(name)
+        taken.discard(src)
         out[seq] = name
     return out
 
@@ -54,6 +55,55 @@ def test_look_alikes_equal_one_by_one(spark, seed):
     assert resolve(spark, plan, existing, bits=2) == one_by_one(plan, existing)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_second_run_equals_one_by_one(spark, seed):
+    """Sources lie in the target folders: names are freed while others wait for them."""
+    rng = random.Random(100 + seed)
+    plan, existing = [], set()
+    names = STEMS + ["a_4", "a_5", "b_2", "a_1_3"]
+    for folder in range(80):
+        ext = rng.choice([".t", ""])
+        here = [f"/out/{folder}/{n}{ext}" for n in rng.sample(names, rng.randint(2, len(names)))]
+        existing |= set(here)
+        wanted = rng.sample(names, rng.randint(1, 5))
+        for src in here:
+            if rng.random() < 0.85:
+                plan.append((src, src if rng.random() < 0.2 else f"/out/{folder}/{rng.choice(wanted)}{ext}"))
+        plan += [(f"/in/{folder}/{i}", f"/out/{folder}/{rng.choice(wanted)}{ext}") for i in range(rng.randint(0, 8))]
+    rng.shuffle(plan)
+    existing |= {s for s, _ in plan}
+    plan = [(i * 2, s, d) for i, (s, d) in enumerate(plan)]
+    got = resolve(spark, plan, existing, bits=3)
+    assert got == one_by_one(plan, existing)
+
+
+def test_hot_name_freed_while_others_wait(spark):
+    """One folder: all files want one name, and most of its counters are freed on the way."""
+    rng = random.Random(11)
+    here = ["/o/a.t"] + [f"/o/a_{n}.t" for n in range(1, 300)]
+    plan = [(s, "/o/a.t" if rng.random() < 0.9 else f"/o/a_{rng.randint(1, 320)}.t") for s in here]
+    plan += [(f"/in/{i}", "/o/a.t") for i in range(200)]
+    rng.shuffle(plan)
+    plan = [(i, s, d) for i, (s, d) in enumerate(plan)]
+    assert resolve(spark, plan, set(here), bits=4) == one_by_one(plan, [s for _, s, _ in plan])
+
+
+def test_line_serves_in_order():
+    line, free, rng = _Line(), list(range(4000)), random.Random(3)
+    for _ in range(300):
+        if rng.random() < 0.5:
+            n = rng.randint(0, 9)
+            line.serve(n)
+            del free[:n]
+        else:
+            low = rng.randint(0, 3000)
+            high = low + rng.choice([0, 3, 500, 4000])
+            want = next((r for r in free if low <= r < high), None)
+            assert line.take(low, high) == want
+            if want is not None:
+                free.remove(want)
+
+
 def test_hot_name_with_contested_counters(spark):
     rng = random.Random(7)
     dsts = ["/o/a.t"] * 400 + [f"/o/a_{rng.randint(1, 500)}.t" for _ in range(200)]
