@@ -27,6 +27,7 @@ from . import tokens
 from .common import schema_with, texts, with_columns
 
 LEAF_RUNS = 16
+PART_BYTES = 2 << 20
 _RUN = re.compile(r"\s*\S+|\s+\Z")
 
 
@@ -127,27 +128,47 @@ class Counter:
 TREE = "n_tokens bigint, leaf_chars array<int>, leaf_tokens array<int>"
 
 
+def _built(encoder: tokens.PieceEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    groups, of = [], []
+    for text in texts(batch.column("text")):
+        parts = runs(text)
+        own = ["".join(parts[i:i + LEAF_RUNS]) for i in range(0, len(parts), LEAF_RUNS)]
+        groups += own
+        of.append(len(own))
+    _, offsets = encoder.encode(pa.array(groups, pa.large_string()))
+    each = pa.array(np.diff(offsets), pa.int32())
+    bounds = np.concatenate([[0], np.cumsum(of)]).astype(np.int32)
+    return with_columns(
+        batch, n_tokens=pa.array(offsets[bounds[1:]] - offsets[bounds[:-1]], pa.int64()),
+        leaf_chars=pa.ListArray.from_arrays(pa.array(bounds), pa.array(list(map(len, groups)), pa.int32())),
+        leaf_tokens=pa.ListArray.from_arrays(pa.array(bounds), each))
+
+
+def _edited(counter: Counter, batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for text, chars, counts, edits in zip(texts(batch.column("text")), *(
+            batch.column(c) for c in ("leaf_chars", "leaf_tokens", "edits"))):
+        tree = SegmentTree(*(np.array(c.as_py() or [], np.int64) for c in (chars, counts)))
+        counter.encoded = 0
+        for e in sorted(edits.as_py() or [], key=lambda e: (e["seq"] is None, e["seq"])):
+            text = counter.edit(text, tree, e["at"] or 0, e["delete"] or 0, e["insert"] or "")
+        kept = tree.sums[tree.size:tree.size + tree.n].astype(np.int32)
+        out.append((text, tree.count, pa.array(kept[:, 0]), pa.array(kept[:, 1]), counter.encoded))
+    columns = list(zip(*out)) or [()] * 5
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in columns[2]])]).astype(np.int32))
+    leaves = [pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], pa.int32()), *c])) for c in columns[2:4]]
+    return with_columns(batch, text=pa.array(columns[0], pa.string()), n_tokens=pa.array(columns[1], pa.int64()),
+                        leaf_chars=leaves[0], leaf_tokens=leaves[1], n_encoded=pa.array(columns[4], pa.int64()))
+
+
 def build(docs: DataFrame, file: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` and the leaves of the tree."""
     file = file or tokens.vocabulary_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.worker_encoder(file)
-        for batch in batches:
-            column = texts(batch.column("text"))
-            groups, of = [], []
-            for k, text in enumerate(column):
-                parts = runs(text)
-                own = ["".join(parts[i:i + LEAF_RUNS]) for i in range(0, len(parts), LEAF_RUNS)]
-                groups += own
-                of.append(len(own))
-            _, offsets = encoder.encode(pa.array(groups, pa.large_string()))
-            each = pa.array(np.diff(offsets), pa.int32())
-            bounds = np.concatenate([[0], np.cumsum(of)]).astype(np.int32)
-            yield with_columns(
-                batch, n_tokens=pa.array(offsets[bounds[1:]] - offsets[bounds[:-1]], pa.int64()),
-                leaf_chars=pa.ListArray.from_arrays(pa.array(bounds), pa.array(list(map(len, groups)), pa.int32())),
-                leaf_tokens=pa.ListArray.from_arrays(pa.array(bounds), each))
+        for batch in parts_of(batches):
+            yield _built(encoder, batch)
 
     return docs.mapInArrow(run, schema_with(docs, TREE))
 
@@ -161,25 +182,35 @@ def apply_edits(built: DataFrame, file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokens.worker_encoder(file))
-        for batch in batches:
-            out = []
-            for text, chars, counts, edits in zip(texts(batch.column("text")), *(
-                    batch.column(c).to_pylist() for c in ("leaf_chars", "leaf_tokens", "edits"))):
-                tree = SegmentTree(np.array(chars or [], np.int64), np.array(counts or [], np.int64))
-                counter.encoded = 0
-                for e in sorted(edits or [], key=lambda e: (e["seq"] is None, e["seq"])):
-                    text = counter.edit(text, tree, e["at"] or 0, e["delete"] or 0, e["insert"] or "")
-                kept = tree.sums[tree.size:tree.size + tree.n].tolist()
-                out.append((text, tree.count, [c for c, _ in kept], [n for _, n in kept], counter.encoded))
-            columns = list(zip(*out)) or [()] * 5
-            yield with_columns(batch, text=pa.array(columns[0], pa.string()), n_tokens=pa.array(columns[1], pa.int64()),
-                               leaf_chars=pa.array(columns[2], pa.list_(pa.int32())),
-                               leaf_tokens=pa.array(columns[3], pa.list_(pa.int32())),
-                               n_encoded=pa.array(columns[4], pa.int64()))
+        for batch in parts_of(batches):
+            yield _edited(counter, batch)
 
     return built.mapInArrow(run, schema_with(built, f"text string, {TREE}, n_encoded bigint"))
 
 
+def count_edits(docs: DataFrame, file: str | None = None) -> DataFrame:
+    """``docs`` with ``edits``: ``build`` and ``apply_edits`` in one pass, with ``n_before``: tokens before the edits."""
+    file = file or tokens.vocabulary_file()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.worker_encoder(file)
+        counter = Counter(encoder)
+        for batch in parts_of(batches):
+            built = _built(encoder, batch)
+            before = built.column("n_tokens")
+            yield with_columns(_edited(counter, built), n_before=before)
+
+    return docs.mapInArrow(run, schema_with(docs, f"text string, {TREE}, n_encoded bigint, n_before bigint"))
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of bounded bytes, so that what is made of a part stays small."""
+    for batch in batches:
+        step = max(1, len(batch) * PART_BYTES // max(1, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def sample_edits(docs: DataFrame) -> DataFrame:
     """``docs`` with two ``edits`` a document, made from its own columns: a deletion and an insertion."""
     n = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))

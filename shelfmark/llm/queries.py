@@ -102,8 +102,7 @@ def op8_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    built = edit_counts.build(edit_counts.sample_edits(docs)).withColumnRenamed("n_tokens", "n_before")
-    edited = edit_counts.apply_edits(built)
+    edited = edit_counts.count_edits(edit_counts.sample_edits(docs))
     return edited.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
                          F.col("n_encoded").alias("n_runs_encoded"), F.size("leaf_chars").cast("bigint").alias("n_leaves"))
 

@@ -106,8 +106,14 @@ class PieceEncoder:
             self.firsts[word] = self.whole(word)
         return self.firsts[word]
 
+    def _bound(self) -> None:
+        if len(self.cache) + len(self.firsts) > CACHED_PIECES:
+            self.cache.clear()
+            self.firsts.clear()
+
     def count(self, text: str) -> int:
         """Number of ids of a short text, without the arrays that ``encode`` makes."""
+        self._bound()
         if _unsafe(text):
             return len(self.whole(text)) // 4
         first, *rest = text.replace("\n", " \x01").split(" ")
@@ -122,9 +128,7 @@ class PieceEncoder:
             half = len(column) // 2
             (ids, ends), (more, further) = self.encode(column.slice(0, half)), self.encode(column.slice(half))
             return np.concatenate([ids, more]), np.concatenate([ends, further[1:] + ends[-1]])
-        if len(self.cache) + len(self.firsts) > CACHED_PIECES:
-            self.cache.clear()
-            self.firsts.clear()
+        self._bound()
         text = large_text(column)
         unsafe = pc.match_substring_regex(text, _UNSAFE)
         marked = pc.replace_substring(pc.if_else(unsafe, "", text), "\n", " \x01")

@@ -108,3 +108,20 @@ def test_edit_rows(encoder, odd, none):
         assert r.n_tokens == sum(r.leaf_tokens) == len(whole(encoder, r.text))
         assert r._text == "clash" and len(r.old or "") - min(12, len(r.old or "") - len(r.old or "") // 3) < len(r.text) + 1
     assert edit_counts.apply_edits(edit_counts.build(edit_counts.sample_edits(none))).count() == 0
+
+
+def test_one_pass_equals_two(encoder, odd, monkeypatch):
+    monkeypatch.setattr(edit_counts, "PART_BYTES", 1000)
+    edits = edit_counts.sample_edits(odd)
+    two = edit_counts.apply_edits(edit_counts.build(edits).withColumnRenamed("n_tokens", "n_before"))
+    columns = ["doc_id", "text", "n_before", "n_tokens", "leaf_chars", "leaf_tokens", "n_encoded"]
+    one = edit_counts.count_edits(edits)
+    assert sorted(map(str, one.select(columns).collect())) == sorted(map(str, two.select(columns).collect()))
+
+
+def test_counting_bounds_the_cache(monkeypatch):
+    encoder = tokens.PieceEncoder(tokens.vocabulary_file())
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 100)
+    for k in range(2000):
+        assert encoder.count(f"first{k} second{k}") == len(encoder.whole(f"first{k} second{k}")) // 4
+        assert len(encoder.cache) + len(encoder.firsts) <= 104
