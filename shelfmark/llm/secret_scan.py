@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import cut_lineage
@@ -193,22 +194,38 @@ def mask(docs: DataFrame, owner: str = "source", repository: str = "source", cop
     Only texts with findings are changed (and ``n_chars``, where there is such a column); columns and
     their order stay.
     """
-    names = docs.columns
     packed = docs.select(F.col("text").cast("string").alias("text"), F.col(owner).cast("string").alias("own"),
                          F.col(repository).cast("string").alias("repo"), F.struct("*").alias("body"))
-    flagged = flag(scan(packed, "own", "repo", ["body"]), copied_owners)
-    live = F.filter("findings", lambda f: f["verdict"] == "live")
-    # spans may overlap (a hex string inside an assignment): text is copied from the end of what was masked
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    text = F.col("body.text")
-    step = F.aggregate(live, start, lambda a, f: F.when(f["end"] <= a["at"], a).otherwise(F.struct(
-        F.concat(a["out"], F.when(f["start"] >= a["at"], F.concat(
-            F.substring(text, (a["at"] + 1).cast("int"), (f["start"] - a["at"]).cast("int")), F.lit(MASK))).otherwise("")).alias("out"),
-        f["end"].alias("at"))))
-    masked = flagged.withColumn("_n", F.size(live)).withColumn("_m", F.when(F.col("_n") > 0, step))
-    masked = masked.withColumn("_t", F.when(F.col("_n") > 0, F.concat(
-        "_m.out", F.substring(text, (F.col("_m.at") + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text))
-    columns = [F.col("_t").alias(c) if c == "text" else
-               F.when(F.col("_n") > 0, F.length("_t")).otherwise(F.col(f"body.`{c}`")).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(f"body.`{c}`").alias(c) for c in names]
-    return masked.select(*columns)
+    scanned = scan(packed, "own", "repo", ["body"])
+    # only texts with candidates meet the counts; the others pass by
+    flagged = flag(scanned.filter(F.size("_spans") > 0), copied_owners)
+    live = F.transform(F.filter("findings", lambda f: f["verdict"] == "live"), lambda f: F.struct(f["start"], f["end"]))
+    found = flagged.select("body", live.alias("live"))
+
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = batch.column("body")
+            columns = {f.name: pc.struct_field(body, i) for i, f in enumerate(body.type)}
+            spans = batch.column("live").to_pylist()
+            text = [masked(t, s) if s else t for t, s in zip(columns["text"].to_pylist(), spans)]
+            columns["text"] = pa.array(text, columns["text"].type)
+            if "n_chars" in columns:
+                kept = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(text, spans, kept)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    changed = found.mapInArrow(hide, docs.schema)
+    untouched = scanned.filter(F.size("_spans") == 0).select(*[F.col(f"body.`{c}`").alias(c) for c in docs.columns])
+    return untouched.unionByName(changed)
+
+
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with spans replaced, in order; of one that begins inside another only the rest goes."""
+    out, at = [], 0
+    for span in spans:
+        if span["end"] <= at:
+            continue
+        if span["start"] >= at:
+            out += [text[at:span["start"]], MASK]
+        at = span["end"]
+    return "".join([*out, text[at:]])

@@ -227,13 +227,17 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMP
             .groupBy("shard", "low", "high").applyInArrow(join, "a bigint, b bigint").distinct())
 
 
+def _roots(distinct: DataFrame, distance: int) -> DataFrame:
+    """``distinct`` (fp and other columns) with ``root``: the same for all fingerprints of a group."""
+    found = cut_lineage(near_links(distinct, distance))
+    roots = components(found).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def group(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, keep: list[str] = ("doc_id",)) -> DataFrame:
     """(``keep`` columns with doc_id, fp, component_id): component_id is the smallest doc_id of the group."""
     fps = cut_lineage(fingerprints(docs, shingle, keep))
-    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = cut_lineage(near_links(distinct, distance))
-    roots = components(found).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"))), distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp", "left")
 
@@ -243,11 +247,18 @@ def hex_fingerprint(fp) -> Column:
 
 
 def deduplicate(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group, the one with the smallest id; its own columns.
+    """One document of each group, the one with the smallest id (rows without an id come last); its own columns.
 
-    Rows without an id cannot be told apart by one and stay; of rows with the same id one stays.
+    Rows are told apart by id and a hash of the text, so ids need not be unique: of unlike texts under
+    one id each belongs to its own group. The texts are shuffled once, to meet the keys that stay.
     """
-    stay = (group(docs, distance, shingle).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias("_stays")).distinct())
-    known = docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    # keys without nulls, so that the join and the removal of repeated rows share one partitioning
+    keyed = docs.select(F.struct("*").alias("body"), F.col("doc_id"), F.col("text").cast("string").alias("text"),
+                        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
+                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    fps = cut_lineage(fingerprints(keyed, shingle, ["doc_id", "key", "hash"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "hash"))
+    rooted = _roots(cut_lineage(fps.groupBy("fp").agg(first.alias("first"))), distance)
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key", "first.hash")
+    kept = keyed.select("key", "hash", "body").join(stay, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"])
+    return kept.select(*[F.col(f"body.`{c}`").alias(c) for c in docs.columns])

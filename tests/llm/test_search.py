@@ -75,10 +75,26 @@ def test_groups_against_brute_force(spark, docs, odd, none):
     assert connected(len(unique), [(at[p.a], at[p.b]) for p in pairs]) == connected(len(unique), brute_links(unique))
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 1
-    assert kept.filter("doc_id in (4, 5)").count() == 1 and kept.filter("doc_id = 9").count() == 1
+    assert kept.filter("doc_id in (4, 5)").count() == 1 and kept.filter("doc_id = 9").count() == 2
+    assert kept.filter("text is null or trim(text) = '' or doc_id = 6").count() == 1
     assert simhash.deduplicate(none).count() == 0
 
 
+def test_deduplicate_keeps_the_first_of_each_group(spark, docs):
+    many = docs.selectExpr("doc_id", "text", "'k' AS key", "'b' AS body").unionByName(docs.selectExpr(
+        "doc_id + 100000 AS doc_id", "concat(text, ' more') AS text", "'k' AS key", "'b' AS body"))
+    # copies without an id, and unlike texts under one id
+    many = many.unionByName(spark.createDataFrame(
+        [(None, "a copied text without any id at all", "k", "b")] * 2 + [(7, "one text with its own seven words", "k", "b"),
+         (7, "quite another text under the very same id", "k", "b")], many.schema))
+    rows = sorted(many.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    fps = np.array([slow_fingerprint(r.text) for r in rows], np.uint64)
+    component = connected(len(rows), brute_links(fps))
+    want = sorted((str(r.doc_id), r.text) for k, r in enumerate(rows) if component[k] == k)
+    kept = simhash.deduplicate(many.repartition(5))
+    assert kept.columns == many.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == want
+
+
 def brute_hits(text, items, n):
     words = decontaminate.words(text)
     hit, names = [0] * len(words), set()
