@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 * quality: documents that the compression classifier scores below its threshold go;
-* near_duplicates: documents go that are 0.8 or more alike, in five-word shingles, to one with a smaller id;
+* near_duplicates: of documents whose SimHash fingerprints are linked the one with the smallest id stays;
 * decontamination: documents with a share of benchmark words that counts as contaminated go;
 * secrets: live-looking credentials are masked, widely copied examples stay, no document goes;
 * packing: the pieces of all documents with their places in sequences of 2048 tokens.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import decontaminate, near_copies, packing, quality, secret_scan
+from shelfmark.llm import decontaminate, packing, quality, secret_scan, simhash
 from shelfmark.llm.queries import QUALITY_THRESHOLD, quality_model, table
 from shelfmark.runtime import cut_lineage
 
@@ -24,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.deduplicate(docs)
+    return simhash.deduplicate(docs, simhash.DISTANCE, simhash.SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
