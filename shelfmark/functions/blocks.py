@@ -22,6 +22,12 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1.0)
 
 
+def distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row to each point."""
+    squared = (rows * rows).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None, :] - 2 * rows @ points.T
+    return np.sqrt(np.maximum(squared, 0.0))
+
+
 def normalize_lists(column: pa.Array) -> pa.Array:
     """Each list scaled to length one; zero lists as they are, null stays null."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -49,7 +49,7 @@ def _with_pivots(points: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndar
         for batch in batches:
             if len(batch) == 0:
                 continue
-            far = _distances(blocks.matrix(batch.column("vec")), pivots)
+            far = blocks.distances(blocks.matrix(batch.column("vec")), pivots)
             cell = far.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])],
@@ -59,11 +59,6 @@ def _with_pivots(points: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndar
     return cut_lineage(points.select("gid", "weight", "vec").mapInArrow(nearest, schema)), pivots
 
 
-def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squared = (rows * rows).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * rows @ pivots.T
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
 def _cells(points: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Radius and number of blocks of each cell: one row per pivot reaches the driver."""
     cells = {r["cell"]: (r["radius"], r["n"]) for r in
@@ -80,7 +75,7 @@ def _work(points: DataFrame, pivots: np.ndarray, cells: tuple[np.ndarray, np.nda
 
     @F.arrow_udf("array<int>")
     def visited(vecs: pa.Array, own: pa.Array) -> pa.Array:
-        far = _distances(blocks.matrix(vecs), pivots)
+        far = blocks.distances(blocks.matrix(vecs), pivots)
         open_ = far <= radius[None, :] + reach
         # each pair of cells meets once: the lower one visits the higher one
         higher = np.arange(len(pivots))[None, :] >= own.to_numpy(zero_copy_only=False)[:, None]

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions import blocks
+from ..runtime import cut_lineage
 from .enrich import score_batches
 
 BLOCK_ROWS = 8192      # vectors of a side that meet in one block pair
 CELLS_AT_ONCE = 1 << 22  # scores held in memory by a task at one time
+PIVOTS = 1024  # what a task holds of the index; with more rows cells grow and are cut into blocks
+SLACK = 1e-9  # distances are doubles: pruning must not cut at the last digit
 
 
 def l2_normalize(df: DataFrame, vec: str = "vec", out: str | None = None) -> DataFrame:
@@ -72,39 +75,134 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(_place(found) < k))
 
 
+def _placed(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
+    """(key, vec, cell, off): the nearest pivot of each row and the distance to it."""
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            far = blocks.distances(blocks.matrix(batch.column("vec")), pivots)
+            cell = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])],
+                names=[*batch.schema.names, "cell", "off"])
+
+    kind, vec = (df.schema[c].dataType.simpleString() for c in (key, "vec"))
+    return cut_lineage(df.select(key, "vec").mapInArrow(nearest, f"`{key}` {kind}, vec {vec}, cell int, off double"))
+
+
+def _sizes(placed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and radius of each cell; one row per pivot reaches the driver."""
+    count, radius = np.zeros(n, np.int64), np.full(n, -np.inf)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect():
+        count[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    return count, radius
+
+
+def bounds(rows: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str) -> np.ndarray:
+    """What a row can score at most in each cell: its members are within the radius of the pivot."""
+    if metric == "l2":
+        gap = np.maximum(blocks.distances(rows, pivots) - radius[None, :] - SLACK, 0)
+        return -(gap * gap) / 2
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows @ pivots.T + norms * (radius[None, :] + SLACK)
+
+
+class _Search:
+    """Both sides in cells around the same pivots; a cell is cut into blocks of bounded rows."""
+
+    def __init__(self, queries: DataFrame, base: DataFrame, k: int, block_rows: int, metric: str):
+        self.k, self.metric = k, metric
+        wanted = max(1, min(PIVOTS, base.count() // block_rows))
+        sample = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").toArrow()
+        self.pivots = blocks.matrix(sample["vec"])
+        self.schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+                       f"id {base.schema['id'].dataType.simpleString()}, score double")
+        if not len(self.pivots):
+            return
+        placed, asked = _placed(base, "id", self.pivots), _placed(queries, "query_id", self.pivots)
+        self.rows, self.radius = _sizes(placed, len(self.pivots))
+        asking, _ = _sizes(asked, len(self.pivots))
+        self.n_blocks = -(-self.rows // block_rows)
+        self.base = placed.withColumn("block", self._block("id", self.n_blocks))
+        self.queries = asked.withColumn("part", self._block("query_id", -(-asking // block_rows)))
+
+    @staticmethod
+    def _block(key: str, n_blocks: np.ndarray):
+        counts = F.array(*[F.lit(int(max(1, n))) for n in n_blocks])
+        return F.pmod(F.xxhash64(key), F.element_at(counts, F.col("cell") + 1).cast("bigint")).cast("int")
+
+    def first(self) -> DataFrame:
+        """Every query visits one block of its own cell, if that holds enough rows to be of use."""
+        large = F.array(*[F.lit(bool(n >= self.k * max(1, b))) for n, b in zip(self.rows, self.n_blocks)])
+        return (self.queries.filter(F.element_at(large, F.col("cell") + 1))
+                .select("query_id", "vec", F.col("cell").alias("home"), "part", "cell", F.lit(0).alias("block")))
+
+    def others(self, scored: DataFrame | None) -> DataFrame:
+        """The other blocks in which a query can score as much as its k-th match so far."""
+        asked = self.queries
+        if scored is None:
+            asked = asked.withColumn("least", F.lit(None).cast("double"))
+        else:
+            least = scored.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
+            asked = asked.join(least, "query_id", "left").withColumn("least", F.when(F.col("_n") >= self.k, F.col("_least")))
+            asked = asked.withColumn("seen", F.col("_n").isNotNull())
+        pivots, radius, metric, full = self.pivots, self.radius, self.metric, self.rows > 0
+
+        @F.arrow_udf("array<int>")
+        def reach(vecs: pa.Array, least: pa.Array) -> pa.Array:
+            floor = least.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            most = bounds(blocks.matrix(vecs), pivots, radius, metric)
+            row, cell = np.nonzero((most + SLACK >= floor[:, None]) & full[None, :])
+            offsets = np.searchsorted(row, np.arange(len(vecs) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell.astype(np.int32)))
+
+        last = F.element_at(F.array(*[F.lit(int(max(0, n - 1))) for n in self.n_blocks]), F.col("to") + 1)
+        seen = F.col("seen") if scored is not None else F.lit(False)
+        return (asked.withColumn("to", F.explode(reach("vec", "least")))
+                .withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+                .filter(~(seen & (F.col("to") == F.col("cell")) & (F.col("block") == 0)))
+                .select("query_id", "vec", F.col("cell").alias("home"), "part", F.col("to").alias("cell"), "block"))
+
+    def score(self, visits: DataFrame) -> DataFrame:
+        """The k best rows of the visited blocks; blocks wait for the parts of queries that visit them."""
+        place = ["cell", "block", "home", "part"]
+        arrivals = visits.select(*[F.col(c).alias(f"_{c}") for c in place]).distinct()
+        waiting = (self.base.join(arrivals, (F.col("cell") == F.col("_cell")) & (F.col("block") == F.col("_block")))
+                   .select("id", F.col("vec").alias("vec"), *[f"_{c}" for c in place]))
+        k, metric = self.k, self.metric
+
+        def one_block(q: pa.Table, b: pa.Table) -> pa.Table:
+            return _score_block(q, b, k, metric)
+
+        return (visits.groupBy(*place).cogroup(waiting.groupBy(*[f"_{c}" for c in place]))
+                .applyInArrow(one_block, self.schema))
+
+
 def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
             block_rows: int = BLOCK_ROWS, metric: str = "ip") -> DataFrame:
     """Exact k best matches: (query_id, id, score, rank); ties by id.
 
     The score is the inner product ("ip") or minus half the squared Euclidean distance ("l2").
 
-    ``queries``: query_id, vec. ``base``: id, vec. No pairs are emitted: both sides are cut into
-    blocks, every pair of blocks is one group of bounded size, and leaves k rows per query.
+    ``queries``: query_id (unique), vec. ``base``: id, vec; rows without a vector take no part. Both sides are
+    dealt to the cells of the same pivots. A first pass scores each query in one block of its own cell, which
+    bounds its k-th match from below; a second pass visits only the cells that pivot, radius and norm
+    allow to reach that. A query's part and a block are one bounded group, and no pairs leave it.
     """
-    id_type, query_type = base.schema["id"].dataType, queries.schema["query_id"].dataType
-    schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
-    found = _topk_grid(queries.select("query_id", "vec"), base.select("id", "vec"), k, block_rows, schema, metric)
+    search = _Search(queries.select("query_id", "vec").filter("vec is not null"),
+                     base.select("id", "vec").filter("vec is not null"), k, block_rows, metric)
+    if not len(search.pivots):
+        found = queries.sparkSession.createDataFrame([], search.schema)
+    elif len(search.pivots) == 1 and search.n_blocks[0] == 1:  # one block holds all
+        found = search.score(search.others(None))
+    else:
+        near = cut_lineage(search.score(search.first()))
+        found = near.unionByName(search.score(cut_lineage(search.others(near))))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(by_score).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _topk_grid(queries: DataFrame, base: DataFrame, k: int, rows: int, schema: str,
-               metric: str) -> DataFrame:
-    q_blocks, b_blocks = (max(1, -(-side.count() // rows)) for side in (queries, base))
-
-    def cells(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
-
-    left = cells(queries, "query_id", "qb", q_blocks, "bb", b_blocks).withColumn("bb", F.col("bb").cast("bigint"))
-    right = cells(base, "id", "bb", b_blocks, "qb", q_blocks).withColumn("qb", F.col("qb").cast("bigint"))
-
-    def one_cell(q: pa.Table, b: pa.Table) -> pa.Table:
-        return _score_block(q, b, k, metric)
-
-    return (left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(one_cell, schema))
-
-
 def kmeans_assign(df: DataFrame, centroids: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster, distance): nearest centroid by Euclidean distance, ties to the smaller number.
 

@@ -93,6 +93,43 @@ def test_topk_does_not_depend_on_the_blocks(spark, monkeypatch, block_rows):
     assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def test_topk_by_distance_and_without_vectors(spark):
+    ids, rows = clumps(8)
+    df = frame(spark, zip(ids.tolist(), rows.tolist())).repartition(3)
+    df = df.unionByName(spark.createDataFrame([(-1, None)], df.schema))
+    found = vectors.topk_ip(df.select(F.col("id").alias("query_id"), "vec"), df, 3, block_rows=9, metric="l2")
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    wide = rows.astype(np.float64)
+    scores = np.round(-((wide[:, None] - wide[None]) ** 2).sum(axis=2) / 2, 9)
+    for q in range(len(ids)):
+        best = sorted(range(len(ids)), key=lambda j: -scores[q, j])[2]
+        assert scores[q, ids.tolist().index(got[int(ids[q]), 3])] >= scores[q, best] - 1e-9
+    assert len(got) == 3 * len(ids)
+    empty = df.limit(0)
+    assert vectors.topk_ip(df.select(F.col("id").alias("query_id"), "vec"), empty, 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_search_visits_few_blocks(spark, metric):
+    """Rows in tight clumps: a query reaches a small part of the blocks, and bounds hold for all of them."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(24, 16))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    rows = middle[rng.integers(0, 24, 2400)] + rng.normal(scale=0.01, size=(2400, 16))
+    df = frame(spark, enumerate(rows.tolist())).repartition(4)
+    search = vectors._Search(df.select(F.col("id").alias("query_id"), "vec"), df, 3, 20, metric)
+    near = search.score(search.first())
+    visits = search.others(near).count() / 2400
+    assert search.n_blocks.sum() >= 120 and visits < 0.25 * search.n_blocks.sum()
+    most = vectors.bounds(rows[:50], search.pivots, search.radius, metric)
+    cell = {r.id: r.cell for r in search.base.select("id", "cell").collect()}
+    score = rows[:50] @ rows.T
+    if metric == "l2":
+        score = -((rows[:50, None] - rows[None]) ** 2).sum(axis=2) / 2
+    where = np.array([cell[i] for i in range(2400)])
+    assert (score <= most[:, where] + 1e-4).all()
+
+
 def test_best_rows_with_ties():
     row, col, value = best_rows(np.array([[1.0, 0], [1, 2], [1, 2], [0, 2], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0]]), 2)
     assert list(zip(col, row, value)) == [(0, 0, 1), (0, 1, 1), (1, 1, 2), (1, 2, 2)]
