@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +55,14 @@ def large_text(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([text, text.slice(0, 0)])
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``size`` bytes, so that what is made of a part stays small."""
+    for batch in batches:
+        step = max(1, len(batch) * size // max(1, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def release(spark: SparkSession) -> None:
     """Free the shuffle files of finished jobs now: Spark drops them when the driver collects their plans.
 

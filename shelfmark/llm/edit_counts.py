@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens
-from .common import schema_with, texts, with_columns
+from .common import parts_of, schema_with, texts, with_columns
 
 LEAF_RUNS = 16
 PART_BYTES = 2 << 20
@@ -167,7 +167,7 @@ def build(docs: DataFrame, file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.worker_encoder(file)
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, PART_BYTES):
             yield _built(encoder, batch)
 
     return docs.mapInArrow(run, schema_with(docs, TREE))
@@ -182,7 +182,7 @@ def apply_edits(built: DataFrame, file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokens.worker_encoder(file))
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, PART_BYTES):
             yield _edited(counter, batch)
 
     return built.mapInArrow(run, schema_with(built, f"text string, {TREE}, n_encoded bigint"))
@@ -195,7 +195,7 @@ def count_edits(docs: DataFrame, file: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.worker_encoder(file)
         counter = Counter(encoder)
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, PART_BYTES):
             built = _built(encoder, batch)
             before = built.column("n_tokens")
             yield with_columns(_edited(counter, built), n_before=before)
@@ -203,14 +203,6 @@ def count_edits(docs: DataFrame, file: str | None = None) -> DataFrame:
     return docs.mapInArrow(run, schema_with(docs, f"text string, {TREE}, n_encoded bigint, n_before bigint"))
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of bounded bytes, so that what is made of a part stays small."""
-    for batch in batches:
-        step = max(1, len(batch) * PART_BYTES // max(1, batch.nbytes))
-        for at in range(0, len(batch), step):
-            yield batch.slice(at, step)
-
-
 def sample_edits(docs: DataFrame) -> DataFrame:
     """``docs`` with two ``edits`` a document, made from its own columns: a deletion and an insertion."""
     n = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage
 from . import tokens
+from .common import parts_of
 
 CAPACITY = 2048
+PART_BYTES = 4 << 20  # of a batch that are encoded at a time, to bound memory
 PIECES = ("doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, block bigint, local bigint")
 
 
@@ -37,9 +39,7 @@ def pieces(docs: DataFrame, file: str | None = None, end_id: int = 0, capacity:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = tokens.worker_encoder(file), 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in parts_of(batches, PART_BYTES):
             ids, offsets = encoder.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))
