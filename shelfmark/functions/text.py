@@ -53,15 +53,67 @@ def slugify(col, max_chars: int = K.SLUG_CHARS) -> Column:
     return F.btrim(F.left(F.array_join(F.transform(seen, capitalize), "_"), F.lit(max_chars)), F.lit("_"))
 
 
-def csv_cells(line) -> Column:
-    """Cells of one CSV record; quoted cells may hold commas and doubled quotes."""
-    line = as_col(line)
-    # a leading comma lets every cell start with one, so that no match is empty
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line),
-                               F.lit(r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'), F.lit(1))
-    quoted = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
-    # what follows a closing quote belongs to the cell as it stands
-    unquoted = F.transform(raw, lambda c: F.when(c.rlike("(?s)" + quoted), F.concat(
-        F.replace(F.regexp_extract(c, "(?s)" + quoted, 1), F.lit('""'), F.lit('"')),
-        F.regexp_extract(c, "(?s)" + quoted, 2))).otherwise(c))
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(unquoted)
+# a cell starts with a comma or a line break; a quoted stretch right behind another one is a doubled quote; what
+# follows a closing quote stands as it is. No piece repeats a group, so long cells need no deep recursion.
+_CSV_BREAK = r"(?:,|\r\n|\r|\n)"
+_CSV_QUOTED, _CSV_BARE = r'"[^"]*+(?:"|\z)', r'[^",\r\n][^,\r\n]*+'
+
+
+def csv_pieces(text) -> Column:
+    """The pieces of CSV text in order, its last line break left out; ``csv_record`` puts a record's together."""
+    pattern = f"{_CSV_BREAK}(?:{_CSV_QUOTED}|{_CSV_BARE}|)|{_CSV_QUOTED}|{_CSV_BARE}"
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), as_col(text)), F.lit(pattern), F.lit(0))
+    return let(found, lambda p: F.when((F.size(p) > 1) & _is_break(F.element_at(p, -1)), F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+
+
+def _is_break(piece: Column) -> Column:
+    return piece.isin("\n", "\r", "\r\n")
+
+
+def _cut_at(pieces: Column, firsts: tuple[str, ...], n: int | None, body) -> Column:
+    """``body`` of the pieces from one that starts with any of ``firsts`` to the next such one; ``n`` stretches at most."""
+    end = F.size(pieces) + 1
+
+    def stretches(starts: Column) -> Column:
+        return F.transform(starts if n is None else F.slice(starts, 1, n), lambda at, k: body(
+            F.slice(pieces, at, F.coalesce(F.get(starts, k + 1), end) - at)))
+
+    return let(F.filter(F.sequence(F.lit(1), F.size(pieces)),
+                        lambda i: F.left(F.element_at(pieces, i), F.lit(1)).isin(*firsts)), stretches)
+
+
+def csv_record(pieces: Column) -> Column:
+    """The cells of one record; an empty line has none."""
+    def content(piece: Column) -> Column:
+        behind = F.substr(piece, F.when(piece.startswith("\r\n"), 3).otherwise(2))
+        bare = F.replace(piece, F.lit('"'), F.lit(""))
+        return (F.when(piece.startswith('"'), F.concat(F.lit('"'), bare))
+                .when(~F.left(piece, F.lit(1)).isin(",", "\n", "\r"), piece)
+                .when(behind.startswith('"'), F.replace(behind, F.lit('"'), F.lit(""))).otherwise(behind))
+
+    def cells(own: Column) -> Column:
+        return F.when((F.size(own) == 1) & _is_break(F.element_at(own, 1)), F.array().cast("array<string>")).otherwise(
+            _cut_at(own, (",", "\n", "\r"), None, lambda cell: F.array_join(F.transform(cell, content), "")))
+
+    return let(pieces, cells)
+
+
+def csv_records(text, n: int) -> Column:
+    """The cells of the first ``n`` records of CSV text; quoted cells may hold commas, quotes and line breaks."""
+    text = as_col(text)
+
+    def plain(lines: Column) -> Column:
+        ended = (F.size(lines) > 1) & (F.size(lines) <= n) & (F.element_at(lines, -1) == "")
+        kept = F.slice(lines, 1, F.least(F.size(lines) - ended.cast("int"), F.lit(n)))
+        return F.transform(kept, lambda line: F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, ",")))
+
+    quoted = let(csv_pieces(text), lambda pieces: _cut_at(pieces, ("\n", "\r"), n, csv_record))
+    # without a quote nothing behind the first lines matters
+    return F.when(text.contains('"'), quoted).otherwise(let(F.split(text, r"\r\n|\r|\n", n + 1), plain))
+
+
+def csv_left_open(line, inside: bool) -> Column:
+    """Whether a quoted cell is open behind a line that starts a record, or starts ``inside`` a quoted cell."""
+    # a doubled quote never changes whether a cell is open, wherever it stands
+    text = F.replace(F.concat(F.lit(',"' if inside else ","), as_col(line)), F.lit('""'), F.lit(""))
+    return F.regexp_replace(text, r',(?:"[^"]*+"[^,]*+|[^",][^,]*+|(?=,|\z))', "") != ""

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import html, trees
 from ..functions.paths import name_of
-from ..functions.text import blank_to_null, csv_cells, py_strip
-from .grouping import join_lines
+from ..functions.text import blank_to_null, csv_left_open, csv_pieces, csv_record, csv_records, py_strip
+from .grouping import join_lines, running_last, running_total
 
 
 def _stripped_or_null(col) -> Column:
@@ -41,10 +41,34 @@ def json_digest(df: DataFrame, max_chars: int = K.JSON_CHARS) -> DataFrame:
 
 def csv_rows(df: DataFrame, max_rows: int = K.CSV_ROWS) -> DataFrame:
     """(path, row_no, cells) of CSV text; one row past the cap is kept to tell that there are more."""
-    lines = F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n", max_rows + 2)
-    lines = F.when(F.col("text") != "", F.slice(lines, 1, max_rows + 1))
-    rows = df.select("path", F.posexplode(lines).alias("row_no", "line"))
-    return rows.select("path", F.col("row_no").cast("bigint").alias("row_no"), csv_cells("line").alias("cells"))
+    records = F.when(F.col("text") != "", csv_records("text", max_rows + 1))
+    rows = df.select("path", F.posexplode(records).alias("row_no", "cells"))
+    return rows.select("path", F.col("row_no").cast("bigint").alias("row_no"), "cells")
+
+
+def csv_rows_of_lines(lines: DataFrame, max_rows: int | None = K.CSV_ROWS) -> DataFrame:
+    """``csv_rows`` of files of any size, given as (path, line_no, line): see ``sources.files.read_text_lines``.
+
+    Whether a line starts inside a quoted cell depends on all lines before it. What a line does to that
+    is one of four functions of two states: it leaves a cell open or closed whatever was before, it
+    keeps the state, or it turns it round. So a line starts inside if the last line that decides and
+    the number of turns since then say so: two prefix scans over ranges of lines, no file in one task.
+    A record is one value; line breaks within cells come as "\\n". With ``max_rows`` None all records are kept.
+    """
+    fresh, inside = csv_left_open("line", False), csv_left_open("line", True)
+    turned = lines.withColumns({"_fresh": fresh, "_inside": inside})
+    turned = running_total(turned, ["path"], "line_no", F.when(F.expr("_fresh and not _inside"), 1).otherwise(0), "_turns")
+    # what a deciding line leaves, as if no line before it had turned the state round
+    left = F.when(F.expr("_fresh = _inside"), (F.col("_fresh").cast("int") + F.col("_turns")) % 2)
+    scanned = running_last(turned, ["path"], "line_no", left, "_left")
+    is_inside = (F.coalesce("_left", F.lit(0)) + F.col("_turns")) % 2 == 1
+    started = running_total(scanned.select("path", "line_no", "line", is_inside.alias("_within")), ["path"], "line_no",
+                            (~F.col("_within")).cast("int"), "_before")
+    numbered = started.withColumn("row_no", F.col("_before") - F.col("_within").cast("int"))
+    if max_rows is not None:
+        numbered = numbered.filter(F.col("row_no") <= max_rows)
+    records = join_lines(numbered, ["path", "row_no"], "line_no", "line", "\n", "text")
+    return records.select("path", "row_no", csv_record(csv_pieces(F.concat("text", F.lit("\n")))).alias("cells"))
 
 
 def csv_digest(rows: DataFrame, max_rows: int = K.CSV_ROWS) -> DataFrame:

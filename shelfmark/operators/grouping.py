@@ -41,6 +41,20 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
             .drop("_range", "_value", "_local", "_offset"))
 
 
+def running_last(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
+                 bits: int = RANGE_BITS) -> DataFrame:
+    """Add ``out``: the last ``value`` that is not null among the rows of the group strictly before, or null."""
+    ranged = df.withColumns({"_range": F.shiftright(order, bits), "_value": value})
+    lasts = ranged.groupBy(*keys, "_range").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("_local", F.last("_value", ignorenulls=True).over(within))
+            .transform(join_groups, carried, [*keys, "_range"])
+            .withColumn(out, F.coalesce("_local", "_carried"))
+            .drop("_range", "_value", "_local", "_carried"))
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: str, out: str = "rank",
                   bits: int = RANGE_BITS) -> DataFrame:
     """Zero-based position of each row within its group."""

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import universal_newlines
 from ..operators.catalog import catalog
@@ -111,6 +111,26 @@ def read_text_files(spark: SparkSession, root: str, recursive: bool = True) -> D
     return read.select(F.regexp_replace("path", LOCAL_SCHEME, "").alias("path"), decoded("content").alias("text"))
 
 
+def read_text_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, line_no, line) of files of any size: a file is read in byte ranges, by many tasks.
+
+    Lines end at any of the three line ends; invalid bytes are replaced as in ``read_text_files``. A
+    line that crosses ranges belongs to the one it starts in, so code points stay whole. Lines are
+    written once to the shared folder, so that their numbers, from 0, are the same for every reader.
+    """
+    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(root)
+    read = cut_lineage(raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.make_valid_utf8("value").alias("line")))
+    ranges = read.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    # one row per range of a file
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = read.join(placed, ["path", "block"])
+    return numbered.select(F.regexp_replace("path", LOCAL_SCHEME, "").alias("path"),
+                           (F.col("id") + F.col("shift")).alias("line_no"), "line")
+
+
 def decoded(content):
     return universal_newlines(F.make_valid_utf8(content))
 

@@ -69,17 +69,32 @@ def document_text(t):
         "path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("error", F.lit("none")).alias("error"))
 
 
-CSV_CELLS_SQL = """list_transform(regexp_extract_all(concat(',', line), ',("[^"]*(?:""[^"]*)*"|[^,]*)', 1),
-  lambda c: CASE WHEN starts_with(c, '"') AND ends_with(c, '"') AND length(c) > 1
-            THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END)"""
-CSV_LINES_SQL = "string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n')"
-
-
-@query("csv_rows", f"""WITH parts AS (SELECT doc_id, {CSV_LINES_SQL} AS lines FROM documents WHERE text <> ''),
-  rows AS (SELECT doc_id, unnest(lines[:101]) AS line, unnest(range(len(lines[:101]))) AS row_no FROM parts)
-  SELECT doc_id, row_no, CASE WHEN line = '' THEN '' ELSE array_to_string({CSV_CELLS_SQL}, chr(31)) END AS cells FROM rows""")
+# every text as it stands, and once more with quoted cells that hold commas, doubled quotes and line breaks
+CSV_TEXT = ("CASE k WHEN 0 THEN text ELSE concat('x,\"', replace(replace(replace(text, concat('.', chr(10)), "
+            "concat('\"', chr(13), chr(10), '\"')), ', ', '\",\"'), ' e', '\"\"e'), '\"') END")
+CSV_PIECES_SQL = r"""regexp_extract_all(concat(chr(10), text),
+  '(?:,|\r\n|\r|\n)(?:"[^"]*(?:"|\z)|[^",\r\n][^,\r\n]*|)|"[^"]*(?:"|\z)|[^",\r\n][^,\r\n]*')"""
+
+
+def _csv_sql(key: str, source: str) -> str:
+    """csv_cells (key, row_no, cell, c): the cells of the first 101 records of each text of ``source``."""
+    return rf"""csv_parts AS (SELECT {key}, {CSV_PIECES_SQL} AS p FROM {source} WHERE text <> ''),
+  csv_pieces AS (SELECT {key}, unnest(p) AS s, unnest(range(len(p))) AS i, len(p) - 1 AS last FROM csv_parts),
+  csv_kept AS (SELECT *, regexp_matches(s, '^[\r\n]') AS opens, regexp_matches(s, '^[,\r\n]') AS cuts FROM csv_pieces
+    WHERE i < last OR i = 0 OR NOT regexp_full_match(s, '[\r\n]+')),
+  csv_numbered AS (SELECT *, sum(opens::INT) OVER w - 1 AS row_no, sum(cuts::INT) OVER w AS cell
+    FROM csv_kept WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+  csv_cells AS (SELECT {key}, row_no, cell, string_agg(CASE WHEN starts_with(s, '"') THEN concat('"', replace(s, '"', ''))
+      WHEN regexp_matches(s, '^[,\r\n]+"') THEN replace(regexp_replace(s, '^(,|\r\n|\r|\n)', ''), '"', '')
+      ELSE regexp_replace(s, '^(,|\r\n|\r|\n)', '') END, '' ORDER BY i) AS c FROM csv_numbered WHERE row_no <= 100 GROUP BY ALL)"""
+
+
+@query("csv_rows", f"""WITH texts AS (SELECT doc_id * 2 + k AS doc_id, {CSV_TEXT} AS text FROM documents, range(2) AS r(k) WHERE text <> ''),
+  {_csv_sql('doc_id', 'texts')}
+  SELECT doc_id, row_no::BIGINT AS row_no, string_agg(c, chr(31) ORDER BY cell) AS cells FROM csv_cells GROUP BY ALL""")
 def csv_rows(t):
-    rows = A.csv_rows(t.documents.select(F.col("doc_id").alias("path"), "text"))
+    cases = t.documents.filter("text <> ''").select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    rows = A.csv_rows(cases.select((F.col("doc_id") * 2 + F.col("k")).alias("path"), F.expr(CSV_TEXT).alias("text")))
     return rows.select(F.col("path").alias("doc_id"), "row_no", F.array_join("cells", "\u001f").alias("cells"))
 
 
@@ -302,10 +317,10 @@ def assembled(t):
 
 
 ASSEMBLED_SQL = TEXTS + f""", routed AS (SELECT *, {ROUTE_SQL} AS route FROM texts),
-  csv_lines AS (SELECT path, {CSV_LINES_SQL} AS lines FROM routed WHERE route = 'csv'),
-  csv_each AS (SELECT path, unnest(lines[:101]) AS line, unnest(range(len(lines[:101]))) AS row_no FROM csv_lines),
-  csv_text AS (SELECT path, string_agg(CASE WHEN row_no = 100 THEN '... (100 rows total)' WHEN line = '' THEN ''
-    ELSE array_to_string({CSV_CELLS_SQL}, ', ') END, chr(10) ORDER BY row_no) AS csv FROM csv_each GROUP BY path),
+  csv_files AS (SELECT path, text FROM routed WHERE route = 'csv'), {_csv_sql('path', 'csv_files')},
+  csv_each AS (SELECT path, row_no, string_agg(c, ', ' ORDER BY cell) AS line FROM csv_cells GROUP BY ALL),
+  csv_text AS (SELECT path, string_agg(CASE WHEN row_no = 100 THEN '... (100 rows total)' ELSE line END,
+    chr(10) ORDER BY row_no) AS csv FROM csv_each GROUP BY path),
   body AS (SELECT r.*, CASE route WHEN 'csv' THEN csv WHEN 'html' THEN {_html_sql().replace('(html,', '(text,')}
     WHEN 'paragraphs' THEN array_to_string(list_filter(string_split(text, chr(10)), lambda p: p <> ''), chr(10)) ELSE text END AS b
     FROM routed r LEFT JOIN csv_text c ON r.path = c.path),
