@@ -12,13 +12,15 @@ the order of their texts; an empty table gives no rows; other columns are kept b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from ..runtime import cut_lineage
 
 RUN = 16
 HASH_CHARS = 32
-CELLS = 1 << 14
 BUCKET_BYTES = 32 << 20
-BUCKETS = 1 << 12
+RANGES = 1 << 16
+STEP = 1 << 8
 
 
 def _hash(text: Column) -> Column:
@@ -86,36 +88,62 @@ def likeness(left: Column, right: Column) -> Column:
     return common.cast("double") / (F.size(left) + F.size(right) - common)
 
 
+def _bounds(source: DataFrame, bucket_bytes: int) -> tuple[list[int], bool]:
+    """The first id of each bucket of neighbouring ids, and whether there are rows without an id.
+
+    Ids are range partitioned (by Spark's own sample of them), four ranges for a bucket; neighbouring
+    ranges are put together up to the wanted bytes. One row per range, at most ``RANGES``, reaches the driver.
+    """
+    seen = Observation()
+    sizes = cut_lineage(source.select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("bytes")).observe(
+        seen, F.sum("bytes").alias("bytes"), F.count_if(F.col("doc_id").isNull()).alias("nulls")))
+    total = seen.get["bytes"] or 0
+    ranges = min(RANGES, 4 * (total // bucket_bytes + 1))
+    width = max(bucket_bytes, 4 * total / RANGES)
+    ranged = sizes.filter("doc_id is not null").repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(
+        F.min("doc_id").alias("first"), F.sum("bytes").alias("bytes"))
+    firsts, held = [], 0
+    for r in sorted(ranged.collect(), key=lambda r: r["first"]):
+        if not firsts or held + r["bytes"] > width:
+            firsts.append(r["first"])
+            held = 0
+        held += r["bytes"]
+    return firsts, bool(seen.get["nulls"])
+
+
+def _bucket(key: Column, firsts: list[int]) -> Column:
+    """The number of the last of ``firsts`` that is not above ``key``; 0 for null. Two short scans, not one long."""
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda first: first <= key))
+
+    def longs(values: list[int]) -> Column:
+        return F.lit(values).cast("array<bigint>")
+
+    if len(firsts) < 2:
+        return F.lit(0)
+    step = F.greatest(upto(longs(firsts[::STEP])) - 1, F.lit(0)) * STEP
+    return F.greatest(step + upto(F.slice(longs(firsts), step + 1, STEP)) - 1, F.lit(0))
+
+
 def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text, next_text): the text of the document that follows by id; the first follows the last.
 
     Documents are dealt to buckets of neighbouring ids, by one shuffle. The first document of each
-    bucket is also sent to the bucket before, where it closes the order. The buckets come from a
-    histogram of text bytes over ``CELLS`` equal ranges of ids.
+    bucket is also sent to the bucket before, where it closes the order. Buckets are quantiles of the
+    ids there are, so gaps between ids make no difference.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ends = source.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = (ends["low"] or 0) - 1, ends["high"] or 0
-    key = F.coalesce("doc_id", F.lit(low))
-    cell = F.floor((key - low) / ((high - low + 1) / CELLS)).cast("int")
-    cells = source.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 1).alias("bytes"),
-                                                  F.min(key).alias("first")).orderBy("cell").collect()
-    total = sum(c["bytes"] for c in cells)
-    width = max(bucket_bytes, total / BUCKETS)
-    bucket_of, firsts, held = [0] * (CELLS + 1), [], 0
-    for c in cells:  # at most CELLS rows
-        if not firsts or held + c["bytes"] > width:
-            firsts.append(c["first"])
-            held = 0
-        held += c["bytes"]
-        bucket_of[c["cell"]] = len(firsts) - 1
+    firsts, nulls = _bounds(source, bucket_bytes)
     n = max(1, len(firsts))
-    bucket = F.get(F.lit(bucket_of), cell)
+    bucket = F.col("bucket")
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("closes"))
     before = F.struct(F.pmod(bucket - 1, F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("closes"))
-    is_first = key == F.get(F.lit(firsts or [0]), bucket)
-    dealt = source.withColumn("place", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))))
+    is_first = F.col("doc_id") == F.get(F.lit(firsts or [0]).cast("array<bigint>"), bucket)
+    if nulls:  # rows without an id come first
+        is_first = F.when(bucket == 0, F.col("doc_id").isNull()).otherwise(is_first)
+    dealt = source.withColumn("bucket", _bucket(F.col("doc_id"), firsts).cast("int")).select(
+        "doc_id", "text", F.explode(F.when(is_first, F.array(own, before)).otherwise(F.array(own))).alias("place"))
     order = Window.partitionBy("place.bucket").orderBy("place.closes", "doc_id", "text")
     return (dealt.withColumn("next_text", F.lead("text").over(order))
             .filter("not place.closes").select("doc_id", "text", "next_text"))
