@@ -26,11 +26,13 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..runtime import cut_lineage
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
 CONTEXT_CHARS = 32
+BLOCK = 128
 
 # fixed values: patterns of the base rules, looser patterns, lists and cue words
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -53,11 +55,21 @@ AGAINST = r"version|isbn|page|order|sku|build|release|figure|serial|\bid\b|\bv$"
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def _blocks(items: Column) -> Column:
+    """An array in blocks of ``BLOCK`` entries, so that no step copies or visits all of a long one."""
+    last = F.greatest(F.ceil(F.size(items) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches, left to right, without overlap: (start, end, value)."""
+    """All matches, left to right, without overlap: (start, end, value).
+
+    Starts are running sums of lengths: within blocks first, then over the blocks.
+    """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(between, found, lambda b, v: F.struct(F.length(b).cast("bigint").alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         first = a["at"] + s["gap"]
@@ -66,7 +78,15 @@ def matches(text: Column, pattern: str) -> Column:
         return F.when(s["value"].isNull(), a).otherwise(
             F.struct(last.cast("bigint").alias("at"), F.array_append(a["out"], span).cast(SPAN).alias("out")))
 
-    return F.aggregate(steps, start, step)["out"]
+    def total(a: Column, block: Column) -> Column:
+        return F.struct((a["at"] + block["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), total)["out"]
+        return F.flatten(F.zip_with(blocks, offsets, lambda block, offset: F.transform(block["out"], lambda s: F.struct(
+            (s["start"] + offset).alias("start"), (s["end"] + offset).alias("end"), s["value"].alias("value")))))
+
+    return let(let(steps, lambda every: F.transform(_blocks(every), lambda block: F.aggregate(block, start, step))), placed)
 
 
 def digits(value: Column) -> Column:
@@ -117,11 +137,14 @@ def _vote(yes: Column) -> Column:
 
 def _voted(text: Column, kind: str, spans: Column, strict: bool) -> Column:
     """Spans as candidates with their votes and features."""
-    def candidate(s: Column) -> Column:
+    def candidate(s: Column, piece: Column, base: Column) -> Column:
+        at = (s["start"] - base).cast("int")
+        before = F.lower(F.substring(piece, F.greatest(at - CONTEXT_CHARS + 1, F.lit(1)), F.least(at, F.lit(CONTEXT_CHARS))))
+        after = F.substring(piece, (s["end"] - base + 1).cast("int"), F.lit(1))
+        return let(before, lambda b: let(after, lambda a: judged(s, b, a)))
+
+    def judged(s: Column, before: Column, after: Column) -> Column:
         value = s["value"]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)).cast("int"),
-                                     F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(1))
         good = passes(kind, value) if strict else F.lit(False)
         context = F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), 0).otherwise(-1)
         ends = F.when(after == "", "end").when(after.rlike(r"\s"), "space").when(after.rlike(r"\w"), "word").otherwise("mark")
@@ -135,7 +158,13 @@ def _voted(text: Column, kind: str, spans: Column, strict: bool) -> Column:
                         (_vote(good) if strict else F.lit(-1)).alias("regex"), _vote(_gazetteer(kind, value)).alias("gazetteer"),
                         context.alias("context"), shape.alias("features"))
 
-    return F.transform(spans, candidate)
+    def of_block(block: Column) -> Column:
+        # a stretch of the text around a block of spans: positions in a whole long text are slow to find
+        base = F.greatest(F.element_at(block, 1)["start"] - CONTEXT_CHARS, F.lit(0).cast("bigint"))
+        piece = F.substring(text, (base + 1).cast("int"), (F.element_at(block, -1)["end"] - base + 1).cast("int"))
+        return let(base, lambda at: let(piece, lambda p: F.transform(block, lambda s: candidate(s, p, at))))
+
+    return let(spans, lambda every: F.flatten(F.transform(F.filter(_blocks(every), lambda b: F.size(b) > 0), lambda block: of_block(block))))
 
 
 def candidates(text: Column) -> Column:
@@ -238,6 +267,19 @@ def find(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
 
     rows = scanned.withColumn("_judged", F.transform("_candidates", judged))
     base = F.filter("_judged", lambda c: c["base"])
-    added = F.filter("_judged", lambda c: ~c["base"] & (c["probability"] >= 0.5)
-                     & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("spans", F.array_sort(F.concat(base, added))).drop("_candidates", "_judged")
+
+    def reach(block: Column) -> Column:
+        return F.struct(F.array_min(F.transform(block, lambda b: b["start"])).alias("start"),
+                        F.array_max(F.transform(block, lambda b: b["end"])).alias("end"), block.alias("spans"))
+
+    def meets(c: Column):
+        return lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+
+    def added(blocks: Column) -> Column:
+        return F.filter("_judged", lambda c: ~c["base"] & (c["probability"] >= 0.5) & ~F.exists(
+            blocks, lambda block: meets(c)(block) & F.exists(block["spans"], meets(c))))
+
+    # sorted by their starts, few blocks of base spans reach a candidate
+    blocks = let(F.array_sort(base), lambda spans: F.transform(_blocks(spans), lambda block: let(block, reach)))
+    found = let(blocks, lambda b: F.array_sort(F.concat(base, added(b))))
+    return rows.withColumn("spans", found).drop("_candidates", "_judged")
