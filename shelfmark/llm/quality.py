@@ -110,10 +110,11 @@ def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """(text, quality) rows for ``fit`` from documents and their labels, and the share of good labels.
 
     Of each class the ``2 * sample_rows`` labels with the smallest hash of their id are drawn, so the
-    side that is broadcast has at most ``4 * sample_rows`` rows of an id and a number.
+    side that is broadcast has at most ``4 * sample_rows`` rows of an id and a number. An id with both
+    labels counts as bad.
     """
     usable = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter(
-        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     drawn = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows) for q in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")

@@ -82,7 +82,7 @@ def op6_token_id_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality_model(spark, docs, folder))
-    return scored.select("doc_id", (id_remainder(QUALITY_FOLDS) == 0).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(id_remainder(QUALITY_FOLDS) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
