@@ -74,30 +74,71 @@ def undo(moves: DataFrame, current: DataFrame, session_id: str | None = None,
         chosen = moves.join(newest, "session_id", "left_semi")
     else:
         chosen = moves.filter(F.col("session_id") == session_id)
-    # last move first: a file undone before (a higher seq) has left its dst and is back at its src.
-    # What a move finds depends on such moves, so outcomes are settled in rounds: a round settles
-    # every move whose predecessors are settled, and the last one changes nothing.
-    moves_ = chosen.select("session_id", "seq", "src", "dst", F.lit(True).alias("done"))
+    gates = _settled(_gates(chosen, current), overwrite)
+    found = chosen.select("session_id", "seq", "src", "dst").join(gates, "seq")
+    gone = F.when(~F.col("there"), F.concat(F.lit("File no longer at destination: "), F.col("dst")))
+    taken = F.when(F.col("origin") & ~F.col("alone") & F.lit(not overwrite),
+                   F.concat(F.lit("Origin is occupied: "), F.col("src")))
+    return (found.withColumn("error", F.coalesce(gone, taken))
+            .select("session_id", "seq", "src", "dst", "error").orderBy(F.desc("seq")))
+
+
+def _gates(moves: DataFrame, current: DataFrame) -> DataFrame:
+    """(seq, alone, origin, origin_of, there, there_of): is there a file at both ends before a move is undone?
+
+    An end that no move touched before is known from the snapshot; any other is what the move named in ``_of``
+    leaves there, as ``2 * seq`` for the src of that move and ``2 * seq + 1`` for its dst. ``alone``: src is dst.
+    """
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("src").alias("path")),
+                   F.struct(F.lit(1).alias("side"), F.col("dst").alias("path")))
+    ends = moves.select("seq", F.inline(F.when(F.col("src") == F.col("dst"), F.slice(both, 2, 1)).otherwise(both)))
+    undone_before = Window.partitionBy("path").orderBy(F.desc("seq"), "side")
     snapshot = current.select("path").distinct().withColumn("_here", F.lit(True))
+    seen = (ends.withColumn("of", F.lag(2 * F.col("seq") + F.col("side")).over(undone_before))
+            .join(snapshot, "path", "left")
+            .withColumn("is_there", F.when(F.col("of").isNull(), F.coalesce("_here", F.lit(False)))))
+
+    def end(side, column):
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    alone = F.count("*") == 1
+    return seen.groupBy("seq").agg(
+        alone.alias("alone"), F.when(alone, F.lit(True)).otherwise(end(0, "is_there")).alias("origin"),
+        end(0, "of").alias("origin_of"), end(1, "is_there").alias("there"), end(1, "of").alias("there_of"))
+
+
+def _settled(gates: DataFrame, overwrite: bool) -> DataFrame:
+    """``_gates`` with both ends known.
+
+    A move that is undone leaves a file at src if there was one at either end, and one at dst if there was one
+    at both (with ``overwrite`` none). So once one end is known, what the move leaves is known as well or the
+    same as at its other end, and can be looked up one move further. Every round does that for all moves
+    at once, which halves a chain of moves; its length costs rounds in the logarithm. Only a move with
+    two open ends waits for one of them.
+    """
     while True:
-        touched = moves_.select("seq", "done", F.explode(F.array(
-            F.struct(F.col("src").alias("path"), F.lit(True).alias("adds"), F.lit(True).alias("after")),
-            F.struct(F.col("dst").alias("path"), F.lit(False).alias("adds"), (F.col("src") == F.col("dst")).alias("after")))).alias("e")).select("seq", "done", "e.*")
-        before = Window.partitionBy("path").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
-        seen = (touched.join(snapshot, "path", "left")
-                .withColumn("there", F.coalesce(F.last(F.when(F.col("done"), F.col("after")), True).over(before),
-                                                F.col("_here"), F.lit(False)))
-                .groupBy("seq").agg(F.max(F.when(F.col("adds"), F.col("there"))).alias("origin"),
-                                    F.max(F.when(~F.col("adds"), F.col("there"))).alias("there")))
-        gone = F.when(~F.col("there"), F.concat(F.lit("File no longer at destination: "), F.col("dst")))
-        taken = F.when(F.col("origin") & (F.col("src") != F.col("dst")) & F.lit(not overwrite),
-                       F.concat(F.lit("Origin is occupied: "), F.col("src")))
         counted = Observation()
-        out = cut_lineage(moves_.join(seen, "seq").withColumn("error", F.coalesce(gone, taken)).observe(
-            counted, F.count_if(F.col("error").isNull() != F.col("done")).alias("changed")))
-        if not counted.get["changed"]:
-            return out.select("session_id", "seq", "src", "dst", "error").orderBy(F.desc("seq"))
-        moves_ = out.select("session_id", "seq", "src", "dst", F.col("error").isNull().alias("done"))
+        gates = cut_lineage(gates.observe(
+            counted, F.count_if(F.col("origin").isNull() | F.col("there").isNull()).alias("open")))
+        if not counted.get["open"]:
+            return gates.select("seq", "alone", "origin", "there")
+        at_src = F.col("origin") | F.col("there")  # null: open
+        at_dst = F.col("origin") & F.col("there")
+        if overwrite:
+            at_dst = F.when(F.col("alone"), at_dst).otherwise(F.lit(False))
+        same_as = F.when(F.col("origin").isNotNull(), F.col("there_of")).when(F.col("there").isNotNull(), F.col("origin_of"))
+        left = gates.select(F.inline(F.array(
+            F.struct((2 * F.col("seq")).alias("of"), at_src.alias("is_there"), same_as.alias("same_as")),
+            F.struct((2 * F.col("seq") + 1).alias("of"), at_dst.alias("is_there"), same_as.alias("same_as")))))
+        asked = gates.select("seq", F.inline(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("origin_of").alias("of")),
+            F.struct(F.lit(1).alias("side"), F.col("there_of").alias("of"))))).filter("of is not null")
+        answers = (asked.join(left, "of").withColumn("next", F.when(
+            F.col("is_there").isNull(), F.coalesce("same_as", "of"))).groupBy("seq").pivot("side", [0, 1])
+            .agg(F.max("is_there").alias("is"), F.max("next").alias("of")))
+        gates = gates.join(answers, "seq", "left").select(
+            "seq", "alone", F.coalesce("origin", "0_is").alias("origin"), F.col("0_of").alias("origin_of"),
+            F.coalesce("there", "1_is").alias("there"), F.col("1_of").alias("there_of"))
 
 
 def undone_catalog(current: DataFrame, undone: DataFrame) -> DataFrame:

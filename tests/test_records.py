@@ -275,3 +275,38 @@ def test_undo_runs_last_move_first(spark):
         want, after = undone_file_by_file(moves, files)
         assert {r.seq: r.error for r in undone.collect()} == want
         assert sorted(r.path for r in G.undone_catalog(current, undone).collect()) == sorted(after)
+
+
+def test_undo_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain; results are those of a run move by move, overwriting or not."""
+    rounds = []
+    cut = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    n = 300
+    chain = [(k, f"/c/{k}", f"/c/{k + 1}") for k in range(n)]
+    shifted = [(n + k, f"/s/{k}", f"/s/{k + 1}") for k in range(n - 1, -1, -1)]  # as many files, one place up
+    shifted = [(n + i, a, b) for i, (_, a, b) in enumerate(shifted)]
+    moves = chain + shifted + [(2 * n, "/self", "/self"), (2 * n + 1, "/void", "/void")]
+    files = [f"/c/{n}", "/self"] + [f"/s/{k + 1}" for k in range(n) if k != 7]
+    table = spark.createDataFrame([("s", k, a, b) for k, a, b in moves], "session_id string, seq bigint, src string, dst string")
+    current = spark.createDataFrame([(f,) for f in files], "path string")
+    undone = G.undo(table, current, "s")
+    want, after = undone_file_by_file(moves, files)
+    assert {r.seq: r.error for r in undone.collect()} == want
+    assert len(rounds) <= 12
+    assert sorted(r.path for r in G.undone_catalog(current, undone).collect()) == sorted(after)
+
+
+def test_undo_with_overwriting(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        moves = [(k, rng.choice("abcde"), rng.choice("abcde")) for k in range(9)]
+        files = set(rng.sample("abcde", 3))
+        table = spark.createDataFrame([("s", k, a, b) for k, a, b in moves], "session_id string, seq bigint, src string, dst string")
+        got = G.undo(table, spark.createDataFrame([(f,) for f in files], "path string"), "s", overwrite=True)
+        want, here = {}, set(files)
+        for seq, src, dst in sorted(moves, reverse=True):
+            want[seq] = None if dst in here else f"File no longer at destination: {dst}"
+            if dst in here:
+                here = here - {dst} | {src}
+        assert {r.seq: r.error for r in got.collect()} == want
