@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from .. import constants as K
@@ -37,43 +39,75 @@ def metadata_prompt(df: DataFrame, max_chars: int = K.PROMPT_CHARS) -> DataFrame
     return df.withColumn("prompt", F.when(py_strip(F.coalesce("text", F.lit(""))) != "", prompt))
 
 
+def _answered(fn: Callable[[list], list], values: list, default) -> tuple[list, list]:
+    """Answers and errors, one of each per value. A list that fails is halved, so only rows that fail alone do."""
+    try:
+        got = list(fn(values))
+        if len(got) != len(values):
+            raise ValueError(f"{len(got)} answers for {len(values)} inputs")
+        return got, [None] * len(values)
+    except Exception as error:
+        if len(values) == 1:
+            return [default], [f"{type(error).__name__}: {error}"]
+    half = len(values) // 2
+    first, second = (_answered(fn, part, default) for part in (values[:half], values[half:]))
+    return first[0] + second[0], first[1] + second[1]
+
+
 def score_batches(df: DataFrame, make_fn: Callable[[], Callable[[list], list]], in_col: str,
                   out_col: str, returns: str | DataType = "string", batch: int = K.MODEL_BATCH,
-                  default=None) -> DataFrame:
-    """Add ``out_col``: a model's answer for ``in_col``.
-
-    ``make_fn`` loads the model once per task and returns ``list -> list``. Only the input
-    column travels to Python. A batch that fails is tried row by row; a row that fails, and a
-    null input, gets ``default``.
+                  default=None, error_col: str | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Add ``out_col``: a model's answer for ``in_col``, and its error as ``error_col`` if that is named.
+
+    ``make_fn`` loads the model once per task and returns ``list -> list``. A batch that fails is
+    halved until the rows that fail are alone. Such a row gets ``default`` and its error; a null
+    input gets ``default`` and no error. ``profile`` sets what a task of this stage needs (an
+    accelerator, say), so that a cluster runs as many models at once as it has of those; all
+    columns travel to Python then, without it only the input column does.
     """
-    @F.pandas_udf(returns)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(values: list, fn) -> tuple[list, list]:
+        given = [i for i, v in enumerate(values) if v is not None]
+        answers, errors = [default] * len(values), [None] * len(values)
+        for start in range(0, len(given), batch):
+            places = given[start:start + batch]
+            for place, answer, error in zip(places, *_answered(fn, [values[i] for i in places], default)):
+                answers[place], errors[place] = answer, error
+        return answers, errors
+
+    kind = T.StructType.fromDDL(f"a {returns}")["a"].dataType if isinstance(returns, str) else returns
+    reply = T.StructType([T.StructField("answer", kind), T.StructField("error", T.StringType())])
+    answer_type = to_arrow_type(kind)
+
+    def columns(values: pa.Array, fn) -> list[pa.Array]:
+        answers, errors = scored(values.to_pylist(), fn)
+        return [pa.array(answers, answer_type), pa.array(errors, pa.string())]
+
+    @F.arrow_udf(reply)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make_fn()
+        for values in batches:
+            yield pa.StructArray.from_arrays(columns(values, fn), names=["answer", "error"])
 
-        def alone(value):
-            try:
-                return fn([value])[0]
-            except Exception:
-                return default
-
-        for series in batches:
-            values = series.to_list()
-            given = [i for i, v in enumerate(values) if v is not None]
-            answers = [default] * len(values)
-            for start in range(0, len(given), batch):
-                places = given[start:start + batch]
-                inputs = [values[i] for i in places]
-                try:
-                    got = list(fn(inputs))
-                    if len(got) != len(inputs):
-                        raise ValueError("one answer per input is needed")
-                except Exception:
-                    got = [alone(v) for v in inputs]
-                for place, answer in zip(places, got):
-                    answers[place] = answer
-            yield pd.Series(answers, dtype="object")
-
-    return df.withColumn(out_col, score(F.col(in_col)))
+    def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make_fn()
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns(rows.column("_input"), fn)],
+                                             names=[*rows.schema.names, "_answer", "_error"])
+
+    if profile is None:
+        held = df.withColumn("_reply", score(F.col(in_col)))
+        out = held.withColumn(out_col, F.col("_reply.answer"))
+        return (out if error_col is None else out.withColumn(error_col, F.col("_reply.error"))).drop("_reply")
+    asked = df.withColumn("_input", F.col(in_col))
+    schema = T.StructType([*asked.schema.fields, T.StructField("_answer", kind), T.StructField("_error", T.StringType())])
+    out = asked.mapInArrow(score_rows, schema, profile=profile).withColumn(out_col, F.col("_answer"))
+    return (out if error_col is None else out.withColumn(error_col, F.col("_error"))).drop("_input", "_answer", "_error")
+
+
+def model_report(scored: DataFrame, error_col: str = "error", by: list[str] | None = None) -> DataFrame:
+    """(rows, failed, failure) by the columns ``by``: how many rows failed, and the smallest of their errors."""
+    return scored.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.count(error_col).alias("failed"),
+                                           F.min(error_col).alias("failure"))
 
 
 def enrich(df: DataFrame, reply_col: str = "reply", out: str = "metadata") -> DataFrame:

@@ -47,6 +47,13 @@ def score_batches(t):
                            default="failed").select("doc_id", "reply")
 
 
+@query("model_report", """SELECT source, count(*) AS rows, count(*) FILTER (length(text) % 5 = 0) AS failed,
+  CASE WHEN count(*) FILTER (length(text) % 5 = 0) > 0 THEN 'ValueError: refused' ELSE 'none' END AS failure FROM documents GROUP BY source""")
+def model_report(t):
+    scored = E.score_batches(t.documents.select("source", "text"), _word_counter, "text", "reply", error_col="error")
+    return E.model_report(scored, by=["source"]).withColumn("failure", F.coalesce("failure", F.lit("none")))
+
+
 @query("extract_json", META + """SELECT doc_id, CASE WHEN doc_id % 7 IN (3, 5) THEN 'none' ELSE concat('  ', topic) END AS topic,
   doc_id % 7 <> 5 AS found FROM meta""")
 def extract_json(t):

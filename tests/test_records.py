@@ -1,6 +1,7 @@
 import random
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
 
 from shelfmark.operators import assemble as A, catalog as C, enrich as E, layout as L, ledger as G, routing as R
@@ -310,3 +311,36 @@ def test_undo_with_overwriting(spark):
             if dst in here:
                 here = here - {dst} | {src}
         assert {r.seq: r.error for r in got.collect()} == want
+
+
+def test_failures_of_a_model_are_data(spark):
+    """Only rows that fail alone get an error, others of their batch are answered; nulls are no failure."""
+    def make():
+        def answer(values):
+            if any(v % 10 == 3 for v in values):
+                raise KeyError("three")
+            return [v * 2 for v in values]
+        return answer
+
+    df = spark.range(40).withColumn("v", F.when(F.col("id") != 5, F.col("id")))
+    scored = E.score_batches(df, make, "v", "twice", "bigint", batch=16, default=-1, error_col="why")
+    assert scored.columns == ["id", "v", "twice", "why"]
+    for r in scored.collect():
+        bad = r.id % 10 == 3
+        assert r.twice == (-1 if bad or r.v is None else 2 * r.id)
+        assert r.why == ("KeyError: 'three'" if bad else None)
+    assert tuple(E.model_report(scored, "why").first()) == (40, 4, "KeyError: 'three'")
+    assert [tuple(r) for r in E.model_report(scored.limit(0), "why").collect()] == [(0, 0, None)]
+
+
+def test_slots_of_a_model_follow_a_profile(spark):
+    """The stage of the model carries the resource profile; what it needs is not to be had on a local master."""
+    needs = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", 1)).build
+    scored = E.score_batches(spark.range(3), lambda: lambda v: v, "id", "same", "bigint", error_col="why", profile=needs)
+    assert scored.columns == ["id", "same", "why"]
+    node = scored._jdf.queryExecution().analyzed()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert node.profile().get().id() == needs.id
+    plain = E.score_batches(spark.range(3), lambda: lambda v: v, "id", "same", "bigint")
+    assert "MapInArrow" not in plain._jdf.queryExecution().analyzed().toString()
