@@ -8,9 +8,35 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: names of Spark's connectors for stores that Arrow has under another one
+STORE_NAMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The name that Arrow's file systems have for what Spark calls ``uri``; a plain path stays one."""
+    scheme, mark, rest = uri.partition("://")
+    if mark and scheme != "file":
+        return f"{STORE_NAMES.get(scheme, scheme)}://{rest}"
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of ``uri`` for a worker; a scheme Arrow does not know is left to Hadoop's library."""
+    name = arrow_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(name)
+    except pa.ArrowInvalid:
+        scheme, mark, rest = name.partition("://")
+        if not mark:
+            raise
+        host, _, path = rest.partition("/")
+        return fs.HadoopFileSystem(f"{scheme}://{host}"), f"/{path}"
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

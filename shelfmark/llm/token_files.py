@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..runtime import cut_lineage
 from . import tokens
+from .common import open_store
 
 SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 256
@@ -32,8 +33,7 @@ MANIFEST = "path string, part int, documents bigint, n_ids bigint, n_sequences b
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1))
+Store = Callable[[str], tuple[fs.FileSystem, str]]
 
 
 def file_schema(length: int, id_type: pa.DataType) -> pa.Schema:
@@ -88,9 +88,11 @@ class SequenceWriter:
 
 
 def write(docs: DataFrame, folder: str, file: str | None = None, end_id: int = 2,
-          length: int = SEQUENCE_LENGTH, partitions: int | None = None) -> DataFrame:
+          length: int = SEQUENCE_LENGTH, partitions: int | None = None, store: Store = open_store) -> DataFrame:
     """Write (doc_id, text) rows below ``folder`` (shared storage); returns the manifest, a written table.
 
+    ``store`` opens a place in a worker: it gives a file system of Arrow and the path in it.
+
     A file belongs to the result only if the manifest names it, so files of failed or repeated
     tasks do no harm.
     """
@@ -106,10 +108,10 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end_id: int = 2
                 continue
             if writer is None:
                 part = batch.column("part")[0].as_py()
-                store, base = _place(folder)
-                store.create_dir(base, recursive=True)
+                files, base = store(folder)
+                files.create_dir(base, recursive=True)
                 path = f"{base.rstrip('/')}/ids-{part:06d}-{uuid.uuid4().hex}.arrows"
-                sink = store.open_output_stream(path)
+                sink = files.open_output_stream(path)
                 writer = SequenceWriter(sink, length, id_type)
             ids, offsets = encoder.encode(batch.column("text"))
             ended = np.insert(ids, offsets[1:], end_id)
@@ -127,18 +129,18 @@ def write(docs: DataFrame, folder: str, file: str | None = None, end_id: int = 2
     return cut_lineage(ordered.mapInArrow(save, MANIFEST))
 
 
-def read_sequences(path: str) -> Iterator[pa.RecordBatch]:
+def read_sequences(path: str, store: Store = open_store) -> Iterator[pa.RecordBatch]:
     """The batches of one file; a local file is memory-mapped, so the batches are views of it."""
-    store, place = _place(path)
-    if isinstance(store, fs.LocalFileSystem):
+    files, place = store(path)
+    if isinstance(files, fs.LocalFileSystem):
         source = pa.memory_map(place)
     else:
-        source = store.open_input_file(place)
+        source = files.open_input_file(place)
     with pa.ipc.open_stream(source) as stream:
         yield from stream
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
+def read_documents(manifest: DataFrame, store: Store = open_store) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
 
     ``start`` counts the ids of all documents before it: the files' own starts plus a running total
@@ -152,7 +154,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for path, base in zip(files.column("path").to_pylist(), files.column("base").to_pylist()):
                 open_doc, crc, left = None, 0, 0  # a document may go on in the next batch
                 at = 0
-                for batch in read_sequences(path):
+                for batch in read_sequences(path, store):
                     flat = batch.column("ids").flatten().to_numpy()
                     doc_ids = batch.column("doc_ids").flatten().to_pylist()
                     starts = batch.column("doc_starts").flatten().to_pylist()
@@ -176,13 +178,13 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     return based.repartition(n, shares).mapInArrow(scan, DOCUMENTS)
 
 
-def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_ids(spark: SparkSession, manifest: DataFrame, store: Store = open_store) -> DataFrame:
     """(path, row, ids, mask): every sequence as Spark rows."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
             for path in files.column("path").to_pylist():
                 row = 0
-                for batch in read_sequences(path):
+                for batch in read_sequences(path, store):
                     n = len(batch)
                     ids = batch.column("ids").cast(pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays(
