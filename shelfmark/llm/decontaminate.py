@@ -6,8 +6,9 @@ suffix array is built (prefix doubling, whole order up to the longest benchmark
 of every benchmark item is binary-searched in it, which gives its longest verbatim match and the
 range of suffixes that start with its window, so all places where the window occurs.
 
-The benchmark is the stated query set. Its items go out in blocks of bounded bytes, every block
-against all documents; a block is one stage on top of the documents, nothing is shuffled.
+The benchmark is the stated query set. It is cut into blocks of bounded bytes. One block travels with the
+task; the numbers and suffixes of several are written to the shared folder, and every worker goes
+through them one after the other for each shard, so it holds one at a time. Documents are not shuffled.
 
 A window is ``n`` consecutive words of an item; a shorter item is one window. Words are runs of ASCII
 letters and digits and of all non-ASCII characters, ASCII letters in lower case.
@@ -19,13 +20,16 @@ so repeated documents each get their own row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import raw_texts, schema_with, text_column, with_columns
+from ..runtime import scratch_path
+from .common import open_store, raw_texts, schema_with, text_column, with_columns
 
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in so many is hit
@@ -169,11 +173,41 @@ def match(raws: list[bytes], bench: Suffixes) -> list[tuple[int, list[tuple[int,
     return list(zip(sizes.tolist(), found))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _suffixes(table: pa.Table, n: int) -> Suffixes:
+    return Suffixes(list(zip(table["item_id"].to_pylist(), raw_texts(table["text"].combine_chunks()))), n)
+
+
+def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Callable[[], Iterator[Suffixes]]:
+    """What goes through the blocks of the benchmark in a worker. The driver holds one block, or the names of files."""
+    spark = benchmark.sparkSession
+    items = (benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+             .filter("item_id is not null").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    if total <= block_bytes:
+        only = _suffixes(items.toArrow(), n)
+        return lambda: iter([only])
+    folder = scratch_path(spark, "benchmark")
+
+    def save(table: pa.Table) -> pa.Table:
+        files, base = open_store(folder)
+        files.create_dir(base, recursive=True)
+        name = f"block-{uuid.uuid4().hex}"  # a repeated task writes another file, which nobody reads
+        with files.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
+            out.write(pickle.dumps(vars(_suffixes(table, n))))
+        return pa.table({"name": [name]})
+
+    blocks = F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-2 * total // block_bytes)))
+    names = sorted(r["name"] for r in items.groupBy(blocks.alias("block")).applyInArrow(save, "name string").collect())
+
+    def each() -> Iterator[Suffixes]:
+        files, base = open_store(folder)
+        for name in names:
+            with files.open_input_stream(f"{base.rstrip('/')}/{name}") as block:
+                bench = Suffixes.__new__(Suffixes)
+                vars(bench).update(pickle.loads(block.read()))
+            yield bench
+
+    return each
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -182,36 +216,35 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_b
     Matches are the longest verbatim ones of a window or more, in any order.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
+    if kind not in ("string", "bigint"):
+        kind, benchmark = "bigint", benchmark.withColumn("item_id", F.col("item_id").cast("bigint"))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()),
                                 ("item_id", pa.string() if kind == "string" else pa.int64()), ("item_start", pa.int64())]))
     added = f"n_words bigint, matches array<struct<start:bigint,n_words:bigint,item_id:{kind},item_start:bigint>>"
-    if kind not in ("string", "bigint"):
-        benchmark = benchmark.withColumn("item_id", F.col("item_id").cast("bigint"))
-        added = added.replace(f"item_id:{kind}", "item_id:bigint")
-    out, blocks = docs, _blocks(benchmark, block_bytes)
-    for number, block in enumerate(blocks):
-        table = block.toArrow()  # one block, of bounded bytes
-        items = list(zip(table["item_id"].to_pylist(), raw_texts(table["text"].combine_chunks())))
-        bench = Suffixes(items, n)
-
-        def search(batches: Iterator[pa.RecordBatch], bench=bench, number=number) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raws, found, shard = raw_texts(text_column(batch)), [], []
-                held = 0
-                for raw in raws:  # shards of bounded bytes, but for a single text beyond the bound
-                    if shard and held + len(raw) > SHARD_BYTES:
-                        found += match(shard, bench)
-                        shard, held = [], 0
-                    shard.append(raw)
-                    held += len(raw)
-                found += match(shard, bench)
-                rows = [[{"start": s, "n_words": k, "item_id": i, "item_start": w} for s, k, i, w in f] for _, f in found]
-                if number:
-                    rows = [a + b for a, b in zip(batch.column("matches").to_pylist(), rows)]
-                yield with_columns(batch, n_words=pa.array([c for c, _ in found], pa.int64()), matches=pa.array(rows, arrow))
-
-        out = out.mapInArrow(search, schema_with(out, added))
-    return out
+    blocks = _blocks(benchmark, n, block_bytes)
+
+    def against_all(shard: list[bytes]) -> list[tuple[int, list]]:
+        found: list[tuple[int, list]] = []
+        for bench in blocks():
+            new = match(shard, bench)
+            found = [(size, old + more) for (_, old), (size, more) in zip(found, new)] if found else new
+        return found
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws, found, shard = raw_texts(text_column(batch)), [], []
+            held = 0
+            for raw in raws:  # shards of bounded bytes, but for a single text beyond the bound
+                if shard and held + len(raw) > SHARD_BYTES:
+                    found += against_all(shard)
+                    shard, held = [], 0
+                shard.append(raw)
+                held += len(raw)
+            found += against_all(shard)
+            rows = [[{"start": s, "n_words": k, "item_id": i, "item_start": w} for s, k, i, w in f] for _, f in found]
+            yield with_columns(batch, n_words=pa.array([c for c, _ in found], pa.int64()), matches=pa.array(rows, arrow))
+
+    return docs.mapInArrow(search, schema_with(docs, added))
 
 
 def _covered(matches: Column) -> Column:
