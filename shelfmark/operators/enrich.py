@@ -39,18 +39,22 @@ def metadata_prompt(df: DataFrame, max_chars: int = K.PROMPT_CHARS) -> DataFrame
     return df.withColumn("prompt", F.when(py_strip(F.coalesce("text", F.lit(""))) != "", prompt))
 
 
-def _answered(fn: Callable[[list], list], values: list, default) -> tuple[list, list]:
-    """Answers and errors, one of each per value. A list that fails is halved, so only rows that fail alone do."""
+def _answered(fn: Callable[[list], list], values: list, default, kind: pa.DataType) -> tuple[list, list]:
+    """Answers and errors, one of each per value. A list that fails is halved, so only rows that fail alone do.
+
+    An answer that is not of ``kind`` is a failure as well.
+    """
     try:
         got = list(fn(values))
         if len(got) != len(values):
             raise ValueError(f"{len(got)} answers for {len(values)} inputs")
+        pa.array(got, kind)
         return got, [None] * len(values)
     except Exception as error:
         if len(values) == 1:
             return [default], [f"{type(error).__name__}: {error}"]
     half = len(values) // 2
-    first, second = (_answered(fn, part, default) for part in (values[:half], values[half:]))
+    first, second = (_answered(fn, part, default, kind) for part in (values[:half], values[half:]))
     return first[0] + second[0], first[1] + second[1]
 
 
@@ -70,7 +74,7 @@ def score_batches(df: DataFrame, make_fn: Callable[[], Callable[[list], list]],
         answers, errors = [default] * len(values), [None] * len(values)
         for start in range(0, len(given), batch):
             places = given[start:start + batch]
-            for place, answer, error in zip(places, *_answered(fn, [values[i] for i in places], default)):
+            for place, answer, error in zip(places, *_answered(fn, [values[i] for i in places], default, answer_type)):
                 answers[place], errors[place] = answer, error
         return answers, errors
 

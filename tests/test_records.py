@@ -330,6 +330,8 @@ def test_failures_of_a_model_are_data(spark):
         assert r.twice == (-1 if bad or r.v is None else 2 * r.id)
         assert r.why == ("KeyError: 'three'" if bad else None)
     assert tuple(E.model_report(scored, "why").first()) == (40, 4, "KeyError: 'three'")
+    mixed = E.score_batches(df, lambda: lambda vs: ["x" if v == 2 else str(v) if v else 7 for v in vs], "v", "o", default="?", error_col="why")
+    assert [(r.id, r.o) for r in mixed.filter("why is not null").collect()] == [(0, "?")]
     assert [tuple(r) for r in E.model_report(scored.limit(0), "why").collect()] == [(0, 0, None)]
 
 
