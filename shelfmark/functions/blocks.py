@@ -6,6 +6,14 @@ import numpy as np
 import pyarrow as pa
 
 SCORE_DIGITS = 12  # scores closer than this are ties, so that equal vectors rank by id
+BLOCKS = 12  # blocks that a table of vectors is cut into, as long as a task can hold one
+LEAST_ROWS = 1024
+BLOCK_BYTES = 1 << 25  # of a block's matrix
+
+
+def block_rows(rows: int, dims: int) -> int:
+    """Rows of a block. Every row meets every block at worst, so blocks grow with the table up to what a task can hold."""
+    return min(max(LEAST_ROWS, -(-rows // BLOCKS)), max(1, BLOCK_BYTES // (8 * max(1, dims))))
 
 
 def matrix(column) -> np.ndarray:
@@ -81,3 +89,28 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
                 links.extend((int(r), int(c)) for r in found)
                 rows.extend(found)
     return links
+
+
+class Forest:
+    """A spanning forest of a bipartite graph whose rows arrive in strips; its links join the parts of the whole graph."""
+
+    def __init__(self, columns: int):
+        self.part = np.arange(columns)
+
+    def add(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the strip, column) of the links: one from each new row to each part it touches."""
+        rows, cols = [], []
+        for r in np.flatnonzero(near.any(axis=1)):
+            touched = np.flatnonzero(near[r])
+            parts = self.part[touched]
+            if (parts == parts[0]).all():
+                first = [0]
+            else:
+                parts, first = np.unique(parts, return_index=True)
+                merged = np.arange(len(self.part))
+                merged[parts] = parts[0]
+                self.part = merged[self.part]
+            rows.append(np.full(len(first), r))
+            cols.append(touched[first])
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *rows]), np.concatenate([empty, *cols])

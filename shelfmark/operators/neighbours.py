@@ -4,7 +4,9 @@
 2. Points go to the cell of their nearest pivot. A point visits another cell only if the triangle
    inequality leaves room for a neighbour there, so far-apart cells never meet.
 3. Cells are cut into blocks; a pair of blocks is one bounded group of work. It reports numbers of
-   neighbours, and then only a spanning forest of the links between core points.
+   neighbours, and then only a spanning forest of the links between core points. Blocks grow with the
+   table up to what a task can hold, so until then a point is shipped to a fixed number of them. Vectors
+   travel as they came and are scaled to length one where they are compared.
 4. Connected components of those links are the clusters.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,41 +25,45 @@ from ..functions import blocks
 from ..runtime import cut_lineage
 from .grouping import rank_all
 
-BLOCK_ROWS = 2048
+CELLS_AT_ONCE = 1 << 22  # distances held in memory by a task at one time
 SLACK = 1e-9  # distances are doubles: pruning must not cut at the last digit
 
 
-def _points(df: DataFrame) -> DataFrame:
-    """(gid, weight, vec): one row per distinct vector, scaled to length one; gid is the smallest id."""
-    @F.arrow_udf("array<double>")
-    def unit(column: pa.Array) -> pa.Array:
-        return blocks.normalize_lists(column)
+def _unit(column) -> np.ndarray:
+    """The vectors scaled to length one."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return blocks.matrix(blocks.normalize_lists(column))
+
 
-    grouped = df.groupBy("vec").agg(F.min("id").alias("gid"), F.count("*").alias("weight"))
-    return grouped.select("gid", "weight", unit("vec").alias("vec"))
+def _points(df: DataFrame) -> DataFrame:
+    """(gid, weight, vec): one row per distinct vector; gid is the smallest id."""
+    return df.groupBy("vec").agg(F.min("id").alias("gid"), F.count("*").alias("weight")).select("gid", "weight", "vec")
 
 
-def _with_pivots(points: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """Add ``cell`` and the distance ``off`` to its pivot; the number of pivots grows with that of points."""
+def _with_pivots(points: DataFrame, block_rows: int | None) -> tuple[DataFrame, np.ndarray, int]:
+    """Add ``cell`` and the distance ``off`` to its pivot; the pivots; rows of a block."""
     counted = Observation()
-    points = cut_lineage(points.observe(counted, F.count("*").alias("n")))
+    points = cut_lineage(points.observe(counted, F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")))
     n = counted.get["n"]
+    block_rows = block_rows or blocks.block_rows(n, counted.get["dims"] or 1)
     wanted = max(1, min(n // block_rows, math.isqrt(n)))
     sample = points.orderBy(F.xxhash64("gid")).limit(wanted).select("vec").toArrow()
-    pivots = blocks.matrix(sample["vec"])
+    pivots = _unit(sample["vec"])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch) == 0:
                 continue
-            far = blocks.distances(blocks.matrix(batch.column("vec")), pivots)
+            far = blocks.distances(_unit(batch.column("vec")), pivots)
             cell = far.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])],
                 names=[*batch.schema.names, "cell", "off"])
 
-    schema = f"gid {points.schema['gid'].dataType.simpleString()}, weight bigint, vec array<double>, cell int, off double"
-    return cut_lineage(points.select("gid", "weight", "vec").mapInArrow(nearest, schema)), pivots
+    gid, vec = (points.schema[c].dataType.simpleString() for c in ("gid", "vec"))
+    schema = f"gid {gid}, weight bigint, vec {vec}, cell int, off double"
+    return cut_lineage(points.select("gid", "weight", "vec").mapInArrow(nearest, schema)), pivots, block_rows
 
 
 def _cells(points: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +82,7 @@ def _work(points: DataFrame, pivots: np.ndarray, cells: tuple[np.ndarray, np.nda
 
     @F.arrow_udf("array<int>")
     def visited(vecs: pa.Array, own: pa.Array) -> pa.Array:
-        far = blocks.distances(blocks.matrix(vecs), pivots)
+        far = blocks.distances(_unit(vecs), pivots)
         open_ = far <= radius[None, :] + reach
         # each pair of cells meets once: the lower one visits the higher one
         higher = np.arange(len(pivots))[None, :] >= own.to_numpy(zero_copy_only=False)[:, None]
@@ -105,18 +112,38 @@ def _work(points: DataFrame, pivots: np.ndarray, cells: tuple[np.ndarray, np.nda
     return visitors.unionByName(residents)
 
 
-def _near(table: pa.Table, eps: float):
-    """Residents, visitors and who is within eps of whom in one block pair."""
-    visiting = table["visitor"].to_numpy().astype(bool)
-    residents, visitors = table.filter(pa.array(~visiting)), table.filter(pa.array(visiting))
-    if len(residents) == 0 or len(visitors) == 0:
-        return residents, visitors, np.zeros((len(residents), len(visitors)), bool)
-    near = 1.0 - blocks.matrix(residents["vec"]) @ blocks.matrix(visitors["vec"]).T <= eps + 1e-12
-    if visitors["own"][0].as_py() and visitors["rb"][0] == visitors["vb"][0]:
-        # a block against itself: each pair counts once, and a point is not its own neighbour
+@dataclass
+class _Meeting:
+    """Residents and visitors of one block pair."""
+    residents: pa.Table
+    visitors: pa.Table
+    eps: float
+
+    @classmethod
+    def of(cls, table: pa.Table, eps: float) -> _Meeting:
+        visiting = table["visitor"].to_numpy().astype(bool)
+        return cls(table.filter(pa.array(~visiting)), table.filter(pa.array(visiting)), eps)
+
+    def near(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Who is within eps of whom, residents x visitors, in strips of residents that fit in memory."""
+        residents, visitors = self.residents, self.visitors
+        if len(residents) == 0 or len(visitors) == 0:
+            return
+        rows, columns = _unit(residents["vec"]), _unit(visitors["vec"])
         r_ids, v_ids = residents["gid"].to_numpy(), visitors["gid"].to_numpy()
-        near &= v_ids[None, :] < r_ids[:, None]
-    return residents, visitors, near
+        own = visitors["own"][0].as_py() and visitors["rb"][0] == visitors["vb"][0]
+        step = max(1, CELLS_AT_ONCE // len(columns))
+        for start in range(0, len(rows), step):
+            strip = slice(start, min(start + step, len(rows)))
+            distance = rows[strip] @ columns.T
+            np.subtract(1.0, distance, out=distance)
+            near = distance <= self.eps + 1e-12
+            if own:  # a block against itself: each pair counts once, and a point is not its own neighbour
+                near &= v_ids[None, :] < r_ids[strip, None]
+            yield strip, near
+
+    def both(self, column: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.residents[column].to_numpy(), self.visitors[column].to_numpy()
 
 
 _PAIR = ["cell", "rb", "vc", "vb"]
@@ -124,10 +151,14 @@ _PAIR = ["cell", "rb", "vc", "vb"]
 
 def _degrees(work: DataFrame, eps: float, id_type: str) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
-        residents, visitors, near = _near(table, eps)
-        gid = pa.concat_arrays([residents["gid"].combine_chunks(), visitors["gid"].combine_chunks()])
-        by_resident = near @ visitors["weight"].to_numpy()
-        by_visitor = residents["weight"].to_numpy() @ near
+        meeting = _Meeting.of(table, eps)
+        r_weight, v_weight = (w.astype(float) for w in meeting.both("weight"))
+        by_resident, by_visitor = np.zeros(len(r_weight)), np.zeros(len(v_weight))
+        for strip, near in meeting.near():
+            near = near.astype(float)  # whole numbers, far below 2^53
+            by_resident[strip] = near @ v_weight
+            by_visitor += r_weight[strip] @ near
+        gid = pa.concat_arrays([side["gid"].combine_chunks() for side in (meeting.residents, meeting.visitors)])
         degree = np.concatenate([by_resident, by_visitor]).astype(np.int64)
         out = pa.table({"gid": gid, "degree": pa.array(degree)})
         return out.filter(pa.array(degree > 0))
@@ -139,17 +170,22 @@ def _degrees(work: DataFrame, eps: float, id_type: str) -> DataFrame:
 def _links(work: DataFrame, eps: float, id_type: str) -> DataFrame:
     """(a, b, border): a spanning forest between core points, and each border point's core points."""
     def link(table: pa.Table) -> pa.Table:
-        residents, visitors, near = _near(table, eps)
-        r_core, v_core = residents["core"].to_numpy().astype(bool), visitors["core"].to_numpy().astype(bool)
-        forest = blocks.spanning_links(near & r_core[:, None] & v_core[None, :])
-        r1, v1 = (np.array([p[i] for p in forest], dtype=np.int64) for i in (0, 1))
-        r2, v2 = np.nonzero(near & ~r_core[:, None] & v_core[None, :])
-        r3, v3 = np.nonzero(near & r_core[:, None] & ~v_core[None, :])
-        r_id, v_id = residents["gid"].combine_chunks(), visitors["gid"].combine_chunks()
-        a = pa.concat_arrays([r_id.take(pa.array(r1)), r_id.take(pa.array(r2)), v_id.take(pa.array(v3))])
-        b = pa.concat_arrays([v_id.take(pa.array(v1)), v_id.take(pa.array(v2)), r_id.take(pa.array(r3))])
-        border = pa.array(np.arange(len(a)) >= len(r1))
-        return pa.table({"a": a, "b": b, "border": border})
+        meeting = _Meeting.of(table, eps)
+        r_core, v_core = (c.astype(bool) for c in meeting.both("core"))
+        r_id, v_id = (side["gid"].combine_chunks() for side in (meeting.residents, meeting.visitors))
+        v_cores = np.flatnonzero(v_core)
+        forest = blocks.Forest(len(v_cores))
+        a, b, border = [r_id.slice(0, 0)], [r_id.slice(0, 0)], [np.zeros(0, bool)]
+        for strip, near in meeting.near():
+            core = r_core[strip]
+            cores = np.flatnonzero(core)
+            r1, v1 = forest.add(near if core.all() and v_core.all() else near[np.ix_(cores, v_cores)])
+            r2, v2 = np.nonzero(near & ~core[:, None] & v_core[None, :]) if not core.all() else (v1[:0], v1[:0])
+            r3, v3 = np.nonzero(near & core[:, None] & ~v_core[None, :]) if not v_core.all() else (v1[:0], v1[:0])
+            a += [r_id.take(pa.array(strip.start + cores[r1])), r_id.take(pa.array(strip.start + r2)), v_id.take(pa.array(v3))]
+            b += [v_id.take(pa.array(v_cores[v1])), v_id.take(pa.array(v2)), r_id.take(pa.array(strip.start + r3))]
+            border.append(np.arange(len(r1) + len(r2) + len(r3)) >= len(r1))
+        return pa.table({"a": pa.concat_arrays(a), "b": pa.concat_arrays(b), "border": pa.array(np.concatenate(border))})
 
     return work.groupBy(*_PAIR).applyInArrow(link, f"a {id_type}, b {id_type}, border boolean")
 
@@ -192,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_MIN_POINTS,
-           block_rows: int = BLOCK_ROWS) -> DataFrame:
+           block_rows: int | None = None) -> DataFrame:
     """(id, cluster): ``cluster_<i>`` in the order of the smallest core point, or "misc" for noise.
 
     ``df``: id (unique), vec. Neighbours are within cosine distance ``eps``; a point counts itself.
@@ -200,7 +236,7 @@ def dbscan(df: DataFrame, eps: float = K.DBSCAN_EPS, min_points: int = K.DBSCAN_
     """
     every, df = df, df.filter("vec is not null")
     id_type = df.schema["id"].dataType.simpleString()
-    points, pivots = _with_pivots(_points(df), block_rows)
+    points, pivots, block_rows = _with_pivots(_points(df), block_rows)
     cells = _cells(points, pivots, block_rows)
     degree = _degrees(_work(points, pivots, cells, eps), eps, id_type)
     total = F.col("weight") + F.coalesce("degree", F.lit(0))

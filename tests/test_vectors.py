@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import blocks
 from shelfmark.functions.blocks import best_rows, spanning_links
 from shelfmark.operators import clusters, neighbours, vectors
 
@@ -75,6 +76,38 @@ def test_spanning_links_join_the_same_parts():
     assert len(links) == 50 - len(set(parts(links).values()))
 
 
+def test_dbscan_blocks_grow_with_the_table(spark, monkeypatch):
+    """A point is shipped to a fixed number of blocks where nothing can be pruned, as it came; strips change nothing."""
+    monkeypatch.setattr(neighbours, "CELLS_AT_ONCE", 700)
+    monkeypatch.setattr(blocks, "LEAST_ROWS", 8)
+    copies = []
+    for n in (150, 900):
+        rng = np.random.default_rng(n)
+        rows = rng.normal(size=(n, 6)).astype(np.float32)
+        df = frame(spark, enumerate(rows.tolist()))
+        got = {r.id: r.cluster for r in neighbours.dbscan(df, 0.08, 3).collect()}
+        assert got == brute_dbscan(np.arange(n), rows.astype(np.float64), 0.08, 3) and len(set(got.values())) > 2
+        points, pivots, block_rows = neighbours._with_pivots(neighbours._points(df), None)
+        work = neighbours._work(points, pivots, neighbours._cells(points, pivots, block_rows), 0.7)
+        assert work.schema["vec"].dataType.simpleString() == "array<float>"
+        copies.append(work.count() / n)
+    assert copies[1] < 1.5 * copies[0] and blocks.block_rows(10 ** 9, 64) * 64 * 8 <= blocks.BLOCK_BYTES
+
+
+def test_forest_in_strips_joins_the_same_parts():
+    rng = np.random.default_rng(2)
+    near = rng.random((40, 25)) < 0.05
+    forest, links = blocks.Forest(25), []
+    for start in range(0, 40, 7):
+        rows, cols = forest.add(near[start:start + 7])
+        links += [(start + r, c) for r, c in zip(rows.tolist(), cols.tolist())]
+    whole = spanning_links(near)
+    assert all(near[r, c] for r, c in links) and len(links) == len(whole)
+    both = np.zeros_like(near)
+    both[tuple(np.array(links).T)] = True
+    assert len(spanning_links(both)) == len(whole)
+
+
 def brute_topk(ids, rows, k):
     scores = np.round(rows @ rows.T, 12)
     return {(int(ids[q]), r + 1): (int(ids[j]), scores[q, j]) for q in range(len(ids))
