@@ -9,9 +9,11 @@ cheaper of both runs is kept.
 Steps. Now and then the table is written with, for every run, the nearest centre of each row, its
 distance, and the distance of the second nearest. From then on the triangle inequality says how far these
 can have moved: a row whose own centre, moved that far away, is still nearer than any other, moved that
-far closer, keeps its label without a distance being taken. Where that is not enough, the distance to
-its own centre is tried, then all. Labels are those of the plain method.
+far closer, keeps its label without a distance being taken. The others are measured against all centres by one
+matrix product, and by plain differences where that leaves two centres too close to tell. Labels are those of the
+plain method.
 
+The table holds vectors and bounds as the bytes of a few rows at a time, so a step moves them to Python as they are.
 A task folds its rows to one sum per centre, so only sums of centres move.
 """
 
@@ -32,7 +34,9 @@ ROWS_AT_ONCE = 1024
 SEED_ROUNDS = 4
 SLACK = 1e-9  # bounds are doubles: a row is skipped only beyond their rounding
 REFRESH_SHARE = 0.25  # rows measured in full beyond which the bounds are taken again
-REFRESH_STEPS = 4  # but not more often than this
+REFRESH_STEPS = 4  # but not more often than this, and each time half as rarely again
+PACK_BYTES = 1 << 13  # of vectors in a row of the table
+CLOSE = 1e-12  # squared distances by products are right up to this part of the squared lengths
 STARTS = ("id", "drawn")
 
 Run = tuple[int, str]  # number of centres, start
@@ -45,6 +49,34 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number, squared[np.arange(len(rows)), number]
 
 
+def _numbers(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre, as ``nearest`` has it."""
+    if len(centres) == 1:
+        return np.zeros(len(rows), np.int64)
+    lengths = (centres * centres).sum(axis=1)
+    score = rows @ centres.T - lengths / 2  # half the squared length of the row less half the squared distance
+    number = score.argmax(axis=1)
+    bar = score[np.arange(len(rows)), number] - CLOSE * (np.einsum("ij,ij->i", rows, rows) + lengths.max())
+    unsure = np.flatnonzero((score >= bar[:, None]).sum(axis=1) != 1)
+    if len(unsure):
+        number[unsure] = nearest(rows[unsure], centres)[0]
+    return number
+
+
+def _packed(values: np.ndarray, rows: int) -> pa.Array:
+    """The bytes of ``rows`` rows at a time."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.size // len(values))
+    ends = np.minimum(np.arange(-(-len(values) // rows) + 1) * rows, len(values)) * width
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """The rows of ``width`` numbers that ``_packed`` put together."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind).reshape(-1, width)
+
+
 def _first_rows(points: DataFrame, n: int) -> np.ndarray:
     found = points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(n).select("vec").toArrow()
     return blocks.matrix(found["vec"])
@@ -158,13 +190,11 @@ def _bounded(points: DataFrame, centres: dict[Run, np.ndarray]) -> tuple[DataFra
                     if distance.shape[1] > 1:
                         distance[np.arange(len(rows)), near[:, r]] = np.inf
                         lower[:, r] = distance.min(axis=1)
-                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(runs))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec").slice(at, len(rows)), *(pa.ListArray.from_arrays(ends, pa.array(v.ravel()))
-                                                                 for v in (near, upper, lower))],
-                    names=["vec", "near", "upper", "lower"])
+                together = max(1, PACK_BYTES // (8 * max(1, rows.shape[1])))
+                yield pa.RecordBatch.from_arrays([_packed(v, together) for v in (rows, near, upper, lower)],
+                                                 names=["vec", "near", "upper", "lower"])
 
-    schema = "vec array<double>, near array<int>, upper array<double>, lower array<double>"
+    schema = "vec binary, near binary, upper binary, lower binary"
     return cut_lineage(points.select("vec").mapInArrow(measure, schema)), Bounds(runs, dict(centres))
 
 
@@ -172,12 +202,9 @@ def label(rows: np.ndarray, centres: np.ndarray, near: np.ndarray, upper: np.nda
           moved: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centres, and the rows that had to be measured against all of them."""
     number = near.astype(np.int64)
-    low = lower - others[number]
-    open_ = np.flatnonzero(upper + moved[number] + SLACK >= low)
-    own = np.sqrt(((rows[open_] - centres[number[open_]]) ** 2).sum(axis=1))
-    open_ = open_[own + SLACK >= low[open_]]
+    open_ = np.flatnonzero(upper + moved[number] + SLACK >= lower - others[number])
     if len(open_):
-        number[open_] = nearest(rows[open_], centres)[0]
+        number[open_] = _numbers(rows[open_] if len(open_) < len(rows) else rows, centres)
     return number, open_
 
 
@@ -189,19 +216,26 @@ def step(table: DataFrame, bounds: Bounds, centres: dict[Run, np.ndarray]) -> tu
     runs = list(centres)
     drift = {run: bounds.drift(run, centres[run]) for run in runs}
     column = {run: bounds.runs.index(run) for run in runs}
+    dims = centres[runs[0]].shape[1]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(centres[run]), centres[run].shape[1] + 1)) for run in runs]
         measured = np.zeros(len(runs))
         for batch in batches:
-            whole, near, upper, lower = (blocks.matrix(batch.column(c)) for c in ("vec", "near", "upper", "lower"))
+            if len(batch) == 0:
+                continue
+            whole = _unpacked(batch.column("vec"), dims)
+            near = _unpacked(batch.column("near"), len(bounds.runs), np.int32)
+            upper, lower = (_unpacked(batch.column(c), len(bounds.runs)) for c in ("upper", "lower"))
             for at in range(0, len(whole), ROWS_AT_ONCE):
                 cut = slice(at, at + ROWS_AT_ONCE)
                 rows = np.concatenate([whole[cut], np.ones((len(whole[cut]), 1))], axis=1)
                 for r, run in enumerate(runs):
                     c = column[run]
                     number, full = label(whole[cut], centres[run], near[cut, c], upper[cut, c], lower[cut, c], *drift[run])
-                    np.add.at(sums[r], number, rows)
+                    member = np.zeros((len(rows), len(sums[r])))
+                    member[np.arange(len(rows)), number] = 1
+                    sums[r] += member.T @ rows
                     measured[r] += len(full)
         for r, total in enumerate(sums):
             value = np.append(total.ravel(), measured[r])
@@ -244,7 +278,7 @@ def fit(points: DataFrame, ks: list[int], iterations: int,
     if not ks:
         return {}, {}
     centres = seeds(points, ks, starts)
-    moving, table, bounds, since = list(centres), None, Bounds(), 0
+    moving, table, bounds, since, wait = list(centres), None, Bounds(), 0, REFRESH_STEPS
     for _ in range(iterations):
         if table is None:
             table, bounds = _bounded(points, {run: centres[run] for run in moving})
@@ -255,8 +289,8 @@ def fit(points: DataFrame, ks: list[int], iterations: int,
         since += 1
         if not moving:
             break
-        if measured > REFRESH_SHARE and since >= REFRESH_STEPS:
-            table = None
+        if measured > REFRESH_SHARE and since >= wait:
+            table, wait = None, wait + wait // 2
     costs = inertia(points, centres)
     best = {k: min((run for run in centres if run[0] == k), key=lambda run: (costs[run], starts.index(run[1]))) for k in ks}
     return {k: centres[run] for k, run in best.items()}, {k: costs[run] for k, run in best.items()}

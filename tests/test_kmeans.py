@@ -127,3 +127,33 @@ def test_copies_few_rows_and_one_centre(spark):
     assert {r.cluster for r in clusters.kmeans_labels(two, k=1).collect()} == {"cluster_0"}
     drawn = kmeans.seeds(cut_lineage(two), [2], ("drawn",))[2, "drawn"]
     assert sorted(map(tuple, drawn.tolist())) == [(1.0, 0.0), (1.0, 1.0)]
+
+
+def test_numbers_by_products_are_those_of_differences():
+    rng = np.random.default_rng(5)
+    rows, centres = rng.normal(size=(400, 7)), rng.normal(size=(9, 7))
+    rows[:50] = (centres[3] + centres[1]) / 2  # ties
+    centres[8], centres[7] = centres[2], centres[2] * (1 + 1e-15)
+    rows[50:90] = centres[2] + rng.normal(scale=1e-3, size=(40, 7))
+    for scale in (1e-6, 1.0, 1e6):
+        assert (kmeans._numbers(rows * scale, centres * scale) == kmeans.nearest(rows * scale, centres * scale)[0]).all()
+    column = kmeans._packed(rows, 33)
+    assert len(column) == 13 and (kmeans._unpacked(column, 7) == rows).all()
+    assert (kmeans._unpacked(column.slice(2, 3), 7) == rows[66:165]).all()
+
+
+def test_table_is_packed_and_written_few_times(spark, monkeypatch):
+    """Without structure rows stay open: the table is not written again every few steps."""
+    rows = np.random.default_rng(8).normal(size=(1500, 6))
+    points = cut_lineage(spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "id bigint, vec array<double>").repartition(3))
+    tables, steps = [], []
+    written, taken = kmeans._bounded, kmeans.step
+    monkeypatch.setattr(kmeans, "_bounded", lambda *a: tables.append(written(*a)) or tables[-1])
+    monkeypatch.setattr(kmeans, "step", lambda *a: steps.append(1) or taken(*a))
+    monkeypatch.setattr(kmeans, "REFRESH_SHARE", -1)
+    first = kmeans.seeds(points, [5], ("id",))[5, "id"]
+    centres, costs = kmeans.fit(points, [5], 30, ("id",))
+    want, cost = plain(rows, first, 30)
+    assert np.allclose(centres[5], want, atol=1e-9) and abs(costs[5] - cost) < 1e-6
+    assert {t.schema["vec"].dataType.simpleString() for t, _ in tables} == {"binary"}
+    assert len(steps) > 16 and len(tables) <= 4 and tables[0][0].count() < 1500 / 50
