@@ -16,7 +16,7 @@ from ..functions import blocks
 from ..runtime import cut_lineage
 from .enrich import score_batches
 
-BLOCK_ROWS = 8192      # vectors of a side that meet in one block pair
+BLOCK_ROWS = 8192      # points of a side that meet in one block pair with centroids
 CELLS_AT_ONCE = 1 << 22  # scores held in memory by a task at one time
 PIVOTS = 1024  # what a task holds of the index; with more rows cells grow and are cut into blocks
 SLACK = 1e-9  # distances are doubles: pruning must not cut at the last digit
@@ -44,35 +44,46 @@ def embed_text(df: DataFrame, make_fn: Callable | None = None, text: str = "text
 
 
 def _score_block(q: pa.Table, b: pa.Table, k: int, metric: str) -> pa.Table:
-    """Top k of ``b`` for every row of ``q``; ``b`` is taken in pieces that fit in memory."""
+    """Top k of ``b`` for every row of ``q``, as far as they reach its ``least``; both are taken in pieces that fit in memory."""
     b = b.take(pc.sort_indices(b["id"]))
-    queries, kept = blocks.matrix(q["vec"]), None
+    rows, queries = blocks.matrix(b["vec"]), blocks.matrix(q["vec"])
+    least = q["least"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+    side = max(1, int(CELLS_AT_ONCE ** 0.5))
+    found = []
+    for start in range(0, len(queries) if len(rows) else 0, side):
+        part = slice(start, start + side)
+        row, col, score = _best_of_part(rows, queries[part], least[part], k, metric, side)
+        found.append((row, col + start, score))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    row, col, score = (np.concatenate(x) for x in zip(empty, *found))
+    return pa.table({"query_id": q["query_id"].take(pa.array(col)), "id": b["id"].take(pa.array(row)), "score": pa.array(score)})
+
+
+def _best_of_part(rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, metric: str,
+                  step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of the k best rows of each query; once k are known, only better scores are looked at."""
+    row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bar = least.copy()
     half = (queries * queries).sum(axis=1) / 2
-    step = max(1, CELLS_AT_ONCE // max(1, len(queries)))
-    for start in range(0, len(b), step):
-        piece = b.slice(start, step)
-        rows = blocks.matrix(piece["vec"])
-        scores = rows @ queries.T
+    for start in range(0, len(rows), step):
+        piece = rows[start:start + step]
+        scores = piece @ queries.T
         if metric == "l2":  # -distance^2 / 2
-            scores -= half + (rows * rows).sum(axis=1, keepdims=True) / 2
-        row, col, score = blocks.best_rows(scores, k)
-        found = pa.table({"query_id": q["query_id"].take(pa.array(col)),
-                          "id": piece["id"].take(pa.array(row)), "score": pa.array(score)})
-        kept = found if kept is None else _best(pa.concat_tables([kept, found]), k)
-    return kept if kept is not None else pa.table({"query_id": q["query_id"].slice(0, 0),
-                                                   "id": b["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-
-
-def _place(found: pa.Table) -> np.ndarray:
-    """Position within the query, for rows that are grouped by query."""
-    ids = found["query_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    return np.arange(len(ids)) - np.searchsorted(ids, ids)
-
-
-def _best(found: pa.Table, k: int) -> pa.Table:
-    found = found.take(pc.sort_indices(found, [("query_id", "ascending"), ("score", "descending"),
-                                               ("id", "ascending")]))
-    return found.filter(pa.array(_place(found) < k))
+            scores -= half + (piece * piece).sum(axis=1, keepdims=True) / 2
+        if np.isneginf(bar).any():
+            r, c, value = blocks.best_rows(scores, k)
+        else:
+            r, c = np.nonzero(scores >= bar - SLACK)
+            value = np.round(scores[r, c], blocks.SCORE_DIGITS)
+        reached = value >= bar[c]
+        row, col, score = (np.concatenate(x) for x in ((row, r[reached] + start), (col, c[reached]), (score, value[reached])))
+        order = np.lexsort((row, -score, col))
+        row, col, score = row[order], col[order], score[order]
+        place = np.arange(len(col)) - np.searchsorted(col, col)
+        kept = place < k
+        row, col, score, place = row[kept], col[kept], score[kept], place[kept]
+        bar[col[place == k - 1]] = score[place == k - 1]
+    return row, col, score
 
 
 def _placed(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
@@ -111,9 +122,11 @@ def bounds(rows: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str
 class _Search:
     """Both sides in cells around the same pivots; a cell is cut into blocks of bounded rows."""
 
-    def __init__(self, queries: DataFrame, base: DataFrame, k: int, block_rows: int, metric: str):
+    def __init__(self, queries: DataFrame, base: DataFrame, k: int, block_rows: int | None, metric: str):
         self.k, self.metric = k, metric
-        wanted = max(1, min(PIVOTS, base.count() // block_rows))
+        n, dims = base.agg(F.count("*"), F.max(F.size("vec"))).first()
+        block_rows = block_rows or blocks.block_rows(n, dims or 1)
+        wanted = max(1, min(PIVOTS, n // block_rows))
         sample = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").toArrow()
         self.pivots = blocks.matrix(sample["vec"])
         self.schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
@@ -136,7 +149,8 @@ class _Search:
         """Every query visits one block of its own cell, if that holds enough rows to be of use."""
         large = F.array(*[F.lit(bool(n >= self.k * max(1, b))) for n, b in zip(self.rows, self.n_blocks)])
         return (self.queries.filter(F.element_at(large, F.col("cell") + 1))
-                .select("query_id", "vec", F.col("cell").alias("home"), "part", "cell", F.lit(0).alias("block")))
+                .select("query_id", "vec", F.col("cell").alias("home"), "part", "cell", F.lit(0).alias("block"),
+                        F.lit(None).cast("double").alias("least")))
 
     def others(self, scored: DataFrame | None) -> DataFrame:
         """The other blocks in which a query can score as much as its k-th match so far."""
@@ -162,7 +176,7 @@ class _Search:
         return (asked.withColumn("to", F.explode(reach("vec", "least")))
                 .withColumn("block", F.explode(F.sequence(F.lit(0), last)))
                 .filter(~(seen & (F.col("to") == F.col("cell")) & (F.col("block") == 0)))
-                .select("query_id", "vec", F.col("cell").alias("home"), "part", F.col("to").alias("cell"), "block"))
+                .select("query_id", "vec", F.col("cell").alias("home"), "part", F.col("to").alias("cell"), "block", "least"))
 
     def score(self, visits: DataFrame) -> DataFrame:
         """The k best rows of the visited blocks; blocks wait for the parts of queries that visit them."""
@@ -180,7 +194,7 @@ class _Search:
 
 
 def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
-            block_rows: int = BLOCK_ROWS, metric: str = "ip") -> DataFrame:
+            block_rows: int | None = None, metric: str = "ip") -> DataFrame:
     """Exact k best matches: (query_id, id, score, rank); ties by id.
 
     The score is the inner product ("ip") or minus half the squared Euclidean distance ("l2").
@@ -188,7 +202,8 @@ def topk_ip(queries: DataFrame, base: DataFrame, k: int = K.SEARCH_K,
     ``queries``: query_id (unique), vec. ``base``: id, vec; rows without a vector take no part. Both sides are
     dealt to the cells of the same pivots. A first pass scores each query in one block of its own cell, which
     bounds its k-th match from below; a second pass visits only the cells that pivot, radius and norm
-    allow to reach that. A query's part and a block are one bounded group, and no pairs leave it.
+    allow to reach that. A query's part and a block are one bounded group, and no pairs leave it. Blocks grow with
+    ``base`` up to what a task can hold, so until then a row is shipped to a fixed number of them.
     """
     search = _Search(queries.select("query_id", "vec").filter("vec is not null"),
                      base.select("id", "vec").filter("vec is not null"), k, block_rows, metric)

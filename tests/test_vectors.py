@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import blocks
 from shelfmark.functions.blocks import best_rows, spanning_links
 from shelfmark.operators import clusters, neighbours, vectors
+from shelfmark.runtime import cut_lineage
 
 
 def frame(spark, rows):
@@ -163,6 +164,22 @@ def test_search_visits_few_blocks(spark, metric):
     assert (score <= most[:, where] + 1e-4).all()
 
 
+def test_search_blocks_grow_with_the_rows(spark, monkeypatch):
+    """Without structure a query still visits a fixed number of blocks, and they report only what reaches its best so far."""
+    monkeypatch.setattr(blocks, "LEAST_ROWS", 8)
+    visits = []
+    for n in (150, 900):
+        rows = np.random.default_rng(n).normal(size=(n, 6)).astype(np.float32)
+        df = frame(spark, enumerate(rows.tolist())).repartition(3)
+        search = vectors._Search(df.select(F.col("id").alias("query_id"), "vec"), df, 3, None, "ip")
+        near = cut_lineage(search.score(search.first()))
+        others = cut_lineage(search.others(near))
+        visits.append(others.count() / n)
+        found = search.score(others).count() / n
+        assert found < visits[-1]
+    assert visits[1] < 1.5 * visits[0]
+
+
 def test_best_rows_with_ties():
     row, col, value = best_rows(np.array([[1.0, 0], [1, 2], [1, 2], [0, 2], [0, 0], [0, 0], [0, 0], [0, 0], [0, 0]]), 2)
     assert list(zip(col, row, value)) == [(0, 0, 1), (0, 1, 1), (1, 1, 2), (1, 2, 2)]
